@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
 from .common import documents
 
 QUERIES = {
     "op1_quality_rules": lambda spark, sf_dir: quality_rules.query(documents(spark, sf_dir)),
+    "op2_bpe": lambda spark, sf_dir: bpe.encode(documents(spark, sf_dir)),
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
