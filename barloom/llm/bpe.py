@@ -145,15 +145,15 @@ class Node:
         return i + 1 if i < len(self.ends) and self.ends[i] == place else None
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[int, tuple] = {}
 
 
 def _loaded(source) -> Encoder:
     """The encoder of a broadcast vocabulary, made once in each Python worker."""
     if id(source) not in _encoders:
         _encoders.clear()
-        _encoders[id(source)] = Encoder(source.value)
-    return _encoders[id(source)]
+        _encoders[id(source)] = source, Encoder(source.value)
+    return _encoders[id(source)][1]
 
 
 def packed(ids) -> bytes:

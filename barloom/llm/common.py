@@ -71,3 +71,38 @@ class Cuts:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.made[index])
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Memo(dict):
+    """Values of a function by word, at most `most` at a time."""
+
+    def __init__(self, function: Callable, most: int = 300_000):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
+    """text and y of at most `most` labelled rows outside the held-out fold.
+
+    Labels are chosen before any text is read, in the order of a hash of doc_id, so
+    reruns agree; `most` bounds what is broadcast here and what training collects.
+    """
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold(modulus) != held))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(most)
+    )
+    return id_and_text(docs).join(F.broadcast(known), "doc_id").select("text", "y")
+
+
+def fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, quality_model, quality_rules, toxicity
 from .common import documents
 
+
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES = {
     "op1_quality_rules": lambda spark, sf_dir: quality_rules.query(documents(spark, sf_dir)),
     "op2_bpe": lambda spark, sf_dir: bpe.encode(documents(spark, sf_dir)),
+    "op5_quality_model": lambda spark, sf_dir: quality_model.query(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op7_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), labels(spark, sf_dir)),
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
