@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, quality_model, quality_rules, toxicity
+from . import bpe, html_text, mixing, quality_model, quality_rules, toxicity
 from .common import documents
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_html_text": lambda spark, sf_dir: html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op5_quality_model": lambda spark, sf_dir: quality_model.query(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
