@@ -36,6 +36,13 @@ def test_tree_equals_whole(encoder):
             assert node.ends == encoder.splits(text) and node.id_ends[-1] == len(node.ids)
 
 
+def test_ranks_equal_library(encoder):
+    assert encoder.ranked is not None
+    texts = [*cases(), "a<|endoftext|>b", "\x85\xa0 \x1c\x0b", "".join(map(chr, range(0x530)))]
+    texts += [f"{chr(c)}a {chr(c)}1 .{chr(c)}" for c in range(0x530)]
+    assert [x.tolist() for x in encoder.batch(texts)] == [encoder.plain(t) for t in texts]
+
+
 def test_rows(spark, encoder):
     texts = [None, "", "short <|endoftext|> one", "a b" * 4000 + "<|endoftext|><|endoftext|>" + "x" * 5000 + " end\n", "q" * 9000]
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(3, texts[3], None, None), (None, "z" * 4000, None, None)]
