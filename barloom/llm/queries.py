@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, jaccard_join, mixing, quality_model, quality_rules, toxicity
+from . import bpe, html_text, jaccard_join, mixing, quality_model, quality_rules, secrets, toxicity
 from .common import documents
 
 
@@ -17,9 +17,11 @@ QUERIES = {
     "op5_quality_model": lambda spark, sf_dir: quality_model.query(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_jaccard_join": lambda spark, sf_dir: jaccard_join.join(documents(spark, sf_dir)),
+    "op9_secrets": lambda spark, sf_dir: secrets.query(documents(spark, sf_dir)),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_secrets": secrets.ORACLE,
 }
