@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, jaccard_join, mixing, quality_model, quality_rules, secrets, toxicity
+from . import bpe, fingerprints, html_text, jaccard_join, mixing, quality_model, quality_rules, secrets, toxicity
 from .common import documents
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_bpe": lambda spark, sf_dir: bpe.encode(documents(spark, sf_dir)),
     "op3_html_text": lambda spark, sf_dir: html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "op5_quality_model": lambda spark, sf_dir: quality_model.query(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op6_fingerprints": lambda spark, sf_dir: fingerprints.query(documents(spark, sf_dir)),
     "op7_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op8_jaccard_join": lambda spark, sf_dir: jaccard_join.join(documents(spark, sf_dir)),
     "op9_secrets": lambda spark, sf_dir: secrets.query(documents(spark, sf_dir)),
