@@ -10,9 +10,10 @@ that copies never meet pairwise.
    finds. A pair at the threshold keeps at least one common node with a chance of
    0.78 at any depth, so RUNS runs lose one in some 10 ** 5; more similar pairs less.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
-   on sketches, inside a task; larger ones walk two and then four levels further. What
-   is then still together shares eight tokens and is linked to its least member.
-   This gives candidates; nothing is dropped at any step.
+   on sketches, inside a task; the sets of larger ones go on, TWICE each, over four
+   more tokens without forks. What is still together in large numbers then shares six
+   tokens and is linked to its least member. This gives candidates; nothing is dropped
+   at any step.
 3. Candidates' components are gathered with their sets, once a set, and every pair
    inside is decided exactly: 9 * common >= 4 * (sizes' sum). A component beyond BLOCK
    sets is cut into blocks, and each pair of blocks is a task of its own. Pairs are
@@ -38,8 +39,8 @@ from .components import Forest, components
 
 N = 5
 SKETCH, RUNS = 64, 8
-DEPTHS = (2, 4, 8)
-SMALL, BLOCK = 128, 2048
+FORKED, STRAIGHT, TWICE = 2, 4, 2
+SMALL, BLOCK = 256, 2048
 #: Candidates agree in this share of their sketches; four deviations below the threshold.
 AGREE = 0.6
 COLUMNS = 2048  # tokens of the exact comparison at once
@@ -97,6 +98,15 @@ def walk(sketches: np.ndarray, member: np.ndarray, path: np.ndarray, levels: int
     return member, path
 
 
+def straight(sketches: np.ndarray, path: np.ndarray, levels: int = STRAIGHT) -> np.ndarray:
+    """The paths of all rows of sketches, so many levels down without forks."""
+    with np.errstate(over="ignore"):
+        for _ in range(levels):
+            at = (_mix(path + _MIX[0]) % _U(SKETCH)).astype(np.int64)
+            path = _mix(path * _MIX[3] + (at.astype(_U) << _U(32)) + sketches[np.arange(len(path)), at])
+    return path
+
+
 def _sets(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """doc_id, `keys`, key (128 bits of the set; null if empty), n, sketch, tokens."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -123,8 +133,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SKETCH)
 
 
-def _walked(rows: DataFrame, levels: int) -> DataFrame:
-    """(path, key) further down; rows: key, sketch and, but at the root, path."""
+def _walked(rows: DataFrame) -> DataFrame:
+    """(path, key) of the forked walk from the root, or on from `path` without forks; rows: key, sketch."""
     rooted = "path" not in rows.columns
 
     def run(batches):
@@ -132,9 +142,13 @@ def _walked(rows: DataFrame, levels: int) -> DataFrame:
             if not b.num_rows:
                 continue
             sketches, n = _matrix(b.column("sketch")), b.num_rows
-            member = np.tile(np.arange(n), RUNS) if rooted else np.arange(n)
-            path = np.repeat(_mix(np.arange(1, RUNS + 1, dtype=_U) * _MIX[0]), n) if rooted else b.column("path").to_numpy().view(_U)
-            member, path = walk(sketches, member, path, levels)
+            if rooted:
+                start = np.repeat(_mix(np.arange(1, RUNS + 1, dtype=_U) * _MIX[0]), n)
+                member, path = walk(sketches, np.tile(np.arange(n), RUNS), start, FORKED)
+            else:
+                with np.errstate(over="ignore"):
+                    starts = [_mix(b.column("path").to_numpy().view(_U) + _U(t + 1) * _MIX[2]) for t in range(TWICE)]
+                member, path = np.tile(np.arange(n), TWICE), np.concatenate([straight(sketches, p) for p in starts])
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("key").take(pa.array(member))], names=["path", "key"])
 
     return rows.mapInArrow(run, "path long, key binary")
@@ -186,23 +200,22 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "u binary, v binary")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
     """Edges (u, v) between keys whose components hold every similar pair; reps: key, sketch."""
     sketches = reps.select("key", "sketch")
-    rows, edges, depth = sketches, None, 0
-    for k, to in enumerate(DEPTHS):
-        paths = _walked(rows, to - depth)
-        depth = to
+
+    def shared(paths):
         counted = paths.groupBy("path").agg(F.count("*").alias("c"), F.min("key").alias("v")).filter("c > 1")
-        shared = paths.join(counted, "path")
-        small = _bucket_edges(shared.filter(F.col("c") <= SMALL).select("path", "key").join(sketches, "key"))
-        edges = small if edges is None else edges.unionByName(small)
-        large = shared.filter(F.col("c") > SMALL)
-        if k == len(DEPTHS) - 1:
-            edges = edges.unionByName(large.select(F.col("key").alias("u"), "v").filter("u != v"))
-        else:
-            rows = large.select("path", "key").join(sketches, "key")
-    return edges
+        return cuts.cut(paths.join(counted, "path"))
+
+    def compared(nodes):
+        return _bucket_edges(nodes.filter(F.col("c") <= SMALL).select("path", "key").join(sketches, "key"))
+
+    first = shared(_walked(sketches))
+    large = first.filter(F.col("c") > SMALL).select("path", "key").join(sketches, "key")
+    then = shared(_walked(large))
+    linked = then.filter((F.col("c") > SMALL) & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v")
+    return compared(first).unionByName(compared(then)).unionByName(linked)
 
 
 def similar(own: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -290,7 +303,7 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     reps = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = cuts.cut(reps)
 
-    comps = components(cuts, candidates(reps))
+    comps = components(cuts, candidates(cuts, reps))
     comps = comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root"))
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
     members = comps.join(sizes, "root").join(reps.select(F.col("key").alias("node"), "rep", "copies"), "node")
