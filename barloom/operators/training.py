@@ -19,22 +19,29 @@ GRID = {"maxDepth": (3, 6), "stepSize": (0.05, 0.2), "subsamplingRate": (0.7, 1.
 
 
 def ordered_split(df: DataFrame, order: tuple[str, ...], fraction: float = 0.2) -> DataFrame:
-    """Adds boolean `validation`: the last part by `order`. Ranks come from counts of range partitions, not of one task."""
+    """Adds boolean `validation`: the last part by `order`. Ranks are counted in ranges, not in one task."""
     total = df.count()
     first = total - int(total * fraction)
     return place(df, order).withColumn("validation", F.col("place") >= first).drop("place")
 
 
 def place(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Adds `place`, the 0-based rank over all rows: rows are sorted in range partitions, and counts of those are added up."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("__id", F.monotonically_increasing_id())
-    marked = marked.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    """Adds `place`, the 0-based rank over all rows; the first of `order` is a number.
+
+    Ranges of that number of about equal counts are ranked for themselves, and the counts
+    of the ranges before are added: no task sees all rows. The bounds are constants of the
+    plan, so that counts and ranks agree wherever they are computed.
+    """
+    first = F.col(order[0]).cast("double")
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or [0.0]
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < first))
+    own = df.withColumn("__part", part)
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__first"))
-    return marked.join(F.broadcast(starts), "__part").withColumn("place", F.col("__first") + F.col("__at")).select(*df.columns, "place")
+    starts = sizes.select("__part", before.alias("__first"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return own.join(F.broadcast(starts), "__part").withColumn("place", F.col("__first") + rank).select(*df.columns, "place")
 
 
 def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
@@ -120,6 +127,15 @@ def predict(model, df: DataFrame, vector: str = "vector") -> DataFrame:
     return out.select(*df.columns, F.col("prediction").cast("int").alias("predicted"))
 
 
+def log_loss(model, df: DataFrame, label: str = "label", vector: str = "vector") -> float:
+    """Mean of -ln of the true class's probability, at least 1e-7; 0 for an empty table."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    out = model.transform(df.withColumn("features", array_to_vector(F.col(vector))))
+    own = F.coalesce(F.get(vector_to_array("probability"), F.col(label).cast("int")), F.lit(0.0))
+    return out.agg(F.avg(-F.ln(F.greatest(own, F.lit(1e-7))))).first()[0] or 0.0
+
+
 def search(df: DataFrame, classes: int, order: tuple[str, ...], label: str = "label", vector: str = "vector", trials: int = 30, grid: dict | None = None):
     """The best parameters on the ordered split's last fifth, by accuracy, and their score."""
     split = ordered_split(df, order).cache()
