@@ -107,16 +107,21 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
-    """Weights trained on the driver from at most `most` labelled rows' feature sets."""
+    """Weights trained in one task from at most `most` labelled rows' feature sets; only they come to the driver."""
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD, most)
 
     def make():
         features = Features()
         return lambda rows: {"x": [features.set(t).astype("<i4").tobytes() for t in rows.column("text").to_pylist()], "y": rows.column("y")}
 
-    got = map_batches(sample, make, "x binary, y int").collect()
-    rows = sorted((bytes(r["x"]), r["y"]) for r in got)
-    return train([(np.frombuffer(x, "<i4").astype(np.int64), y) for x, y in rows])
+    def trained(batches):
+        rows = [r for b in batches for r in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+        at, values, intercept = train([(np.frombuffer(x, "<i4"), y) for x, y in sorted(rows)])
+        yield pa.RecordBatch.from_pydict({"at": [at.astype("<i8").tobytes()], "values": [values.tobytes()], "intercept": [intercept]})
+
+    sets = map_batches(sample, make, "x binary, y int").repartition(1)  # at most `most` rows
+    row = sets.mapInArrow(trained, "at binary, values binary, intercept double").first()
+    return train([]) if row is None else (np.frombuffer(row["at"], "<i8"), np.frombuffer(row["values"], np.float32), row["intercept"])
 
 
 def _scorer(model):
