@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are present or absent: single words, neighbours (i, i + 1), skip-grams
-(i, i + 2) and stems (the first STEM letters of longer words), hashed to 2 ** BITS.
+(i, i + 2) and stems (the first STEMS letters of longer words), hashed to 2 ** BITS.
 Words are lower-cased and stripped of punctuation at both ends.
 Training keeps z and n per coordinate, so each has a rate of its own, and the L1
 term leaves few weights other than 0: only those are broadcast, a table that is
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Memo, fold, id_and_text, labelled_sample, map_batches
 
-BITS, STEM = 20, 6
+BITS, STEMS = 20, (4, 6)
 SAMPLE = 10000
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -43,9 +43,12 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.strip(_EDGE).lower())
 
 
-def _stem_hash(word: str) -> int:
-    bare = word.strip(_EDGE).lower()
-    return xxhash.xxh3_64_intdigest("^" + bare[:STEM]) if len(bare) > STEM else 0
+def _stem_hash(letters: int):
+    def hashed(word: str) -> int:
+        bare = word.strip(_EDGE).lower()
+        return xxhash.xxh3_64_intdigest(f"^{letters}{bare[:letters]}") if len(bare) > letters else 0
+
+    return hashed
 
 
 def _folded(h: np.ndarray) -> np.ndarray:
@@ -55,7 +58,7 @@ def _folded(h: np.ndarray) -> np.ndarray:
 
 class Features:
     def __init__(self):
-        self.words, self.stems = Memo(_word_hash), Memo(_stem_hash)
+        self.words, self.stems = Memo(_word_hash), [Memo(_stem_hash(k)) for k in STEMS]
 
     def all(self, text: str) -> np.ndarray:
         """Hashed features with repetitions; 0 is kept for the intercept."""
@@ -65,10 +68,10 @@ class Features:
             return np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             one = np.fromiter(map(self.words.__getitem__, found), np.uint64, n)
-            stem = np.fromiter(map(self.stems.__getitem__, found), np.uint64, n)
+            stems = [np.fromiter(map(m.__getitem__, found), np.uint64, n) for m in self.stems]
             two = one[:-1] * _MIX[0] + one[1:] * _MIX[1]
             skip = one[:-2] * _MIX[2] + one[2:] * _MIX[0] + np.uint64(1)
-            out = _folded(np.concatenate([one, stem[stem > 0], two, skip]))
+            out = _folded(np.concatenate([one, *(s[s > 0] for s in stems), two, skip]))
         return np.maximum(out, np.uint64(1)).astype(np.int64)
 
     def set(self, text: str) -> np.ndarray:
