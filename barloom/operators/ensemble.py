@@ -12,13 +12,17 @@ def vote(predictions: DataFrame, rule: str, row: str = "row_id", components: int
     """row and prediction; rule: unanimous, majority or priority_tiebreak. predictions: row, prediction, priority.
 
     Majority is the largest count; a tie holds, or with priority_tiebreak goes to the tied class of
-    the least priority number. One shuffle: counts per (row, class) are folded per row as an array
-    of at most one entry a class. With `components`, a row that has another number of votes is an error.
+    the least priority number. One partially aggregated shuffle: each row keeps a count and a least
+    priority for each class. With `components`, a row that has another number of votes is an error.
     """
     if rule not in ("unanimous", "majority", "priority_tiebreak"):
         raise ValueError(f"Unknown rule: {rule}")
-    counts = predictions.groupBy(row, "prediction").agg(F.count("*").alias("c"), F.min("priority").alias("p"))
-    rows = counts.groupBy(row).agg(F.collect_list(F.struct("c", "p", "prediction")).alias("v"), F.sum("c").alias("votes"))
+    each = []
+    for c in (BUY, SELL, HOLD):
+        own = F.col("prediction") == c
+        each += [F.count_if(own).alias(f"c{c}"), F.min(F.when(own, F.col("priority"))).alias(f"p{c}")]
+    entries = F.array(*(F.struct(F.col(f"c{c}").alias("c"), F.col(f"p{c}").alias("p"), F.lit(c).alias("prediction")) for c in (BUY, SELL, HOLD)))
+    rows = predictions.groupBy(row).agg(*each).select(row, F.filter(entries, lambda x: x["c"] > 0).alias("v"), (F.col("c0") + F.col("c1") + F.col("c2")).alias("votes"))
     if components is not None:
         rows = rows.filter(F.when(F.col("votes") == components, True).otherwise(F.raise_error("Components disagree on the number of rows").cast("boolean")))
     most = F.array_max(F.transform("v", lambda x: x["c"]))

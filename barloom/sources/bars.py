@@ -47,7 +47,9 @@ def with_epoch(df: DataFrame) -> DataFrame:
 
 
 def epoch(column: str) -> F.Column:
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
+    """Epoch seconds of a timestamp without time zone, from its fields: no session zone has a part in it."""
+    days = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
 
 
 def from_events(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
