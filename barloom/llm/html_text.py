@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ STOP_LOW, STOP_HIGH = 0.15, 0.30
 LINKS = 0.4
 
 #: Fixed sets of element names.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio"
+RAW = "script|style|textarea|title|iframe"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -37,7 +38,7 @@ BLOCK = set(
 )
 SCOPES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-LEFT_OUT = set("nav aside footer header form menu button dialog fieldset head".split())
+LEFT_OUT = set("nav aside footer header form menu button dialog fieldset head noscript template svg math object select canvas video audio".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id attributes that mark what isn't the article.
 MARKS = set(
@@ -57,7 +58,7 @@ STOP_WORDS = {
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words)
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -93,6 +94,7 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # name, left out, scope
+    open_: Counter = Counter()  # names on the stack, so that a stray end tag needs no search
     bad, scope, scopes, links, heading = False, 0, 0, 0, False
     texts: list[str] = []
     linked = 0
@@ -122,26 +124,31 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+            while open_[name]:
+                closed = stack.pop()[0]
+                open_[closed] -= 1
+                links -= closed == "a"
+                if closed == name:
                     break
         elif name not in VOID and not (m["rest"] or "").endswith("/"):
             if name in SCOPES:
                 scopes += 1
-                outer = any(x[0] in SCOPES for x in stack)
-                out = _left_out(name, m["rest"]) or outer and bad
-                stack.append((name, out, scopes))
+                outer = any(open_[x] for x in SCOPES)
+                stack.append((name, _left_out(name, m["rest"]) or outer and bad, scopes))
             else:
                 if name == "a":
                     links += 1
                 elif name in ("p", "li", "tr", "td", "option", "dt", "dd") and stack and stack[-1][0] == name:
                     stack.pop()  # closed by its next sibling
+                    open_[name] -= 1
                 stack.append((name, bool(stack) and stack[-1][1] or _left_out(name, m["rest"]), stack[-1][2] if stack else 0))
+            open_[name] += 1
         elif name not in BLOCK:
             continue
-        bad, scope = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        state = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        if state != (bad, scope):
+            flush()  # what is left out begins or ends, be it inside a block
+        bad, scope = state
         heading = any(x[0] in HEADINGS for x in stack[-4:])
     add(page[at:])
     flush()

@@ -27,6 +27,14 @@ def test_short_article_and_broken_markup():
     assert h.main_text("<article>" + "<b>" * 3000 + "x" + "<p><" * 3000).startswith("x")
 
 
+def test_hard_markup_is_linear():
+    for page in ("<b>" * 200_000 + "</i>" * 200_000 + "x", "<article>" * 50_000 + "x", "<div><p" * 50_000, "<script>" * 50_000, '<a title="' * 50_000, "<!--" * 100_000):
+        h.main_text(page)
+    assert h.main_text("<svg><article><p>" + LONG) == LONG.strip()
+    assert h.main_text("<article><p>" + LONG + "<span class=advert>Buy</span> it</p>" + LONG * 2) == f"{LONG}it {(LONG * 2).strip()}"
+    assert h.main_text("<article><p>" + LONG + "<select><option>one<option>two</select><script x='>var a = 1;</script></article>") == LONG.strip()
+
+
 def test_rows(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, "u", None, "c", "c"), (2, None, "", "c", "c"), (3, "u", PAGE, "c", "c"), (3, "u", PAGE, "c", "c"), (None, "v", "<p>x", "c", "c")]
