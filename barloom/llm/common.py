@@ -62,21 +62,23 @@ class Cuts:
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made)}"
-        self.made.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
 
-    def drop(self, index: int) -> None:
-        """Remove a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.made[index])
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that no later step reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(next(p for t, p in self.made if t is table))
+            path.getFileSystem(conf).delete(path, True)
 
 
 class Memo(dict):
     """Values of a function by word, at most `most` at a time."""
 
-    def __init__(self, function: Callable, most: int = 300_000):
+    def __init__(self, function: Callable, most: int = 150_000):
         super().__init__()
         self.function, self.most = function, most
 

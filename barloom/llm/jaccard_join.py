@@ -300,13 +300,15 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     """(doc_id, `keys`, key, n) of every row, and per key: root (the class), class_id, n_links, copies."""
     cuts = cuts or Cuts(docs.sparkSession)
     sets = cuts.cut(_sets(docs, keys))
+    rows = cuts.cut(sets.select("doc_id", *keys, "key", "n"))
     reps = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     reps = cuts.cut(reps)
+    names = cuts.cut(reps.select("key", "rep", "copies"))
 
     comps = components(cuts, candidates(cuts, reps))
-    comps = comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root"))
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    members = comps.join(sizes, "root").join(reps.select(F.col("key").alias("node"), "rep", "copies"), "node")
+    comps = cuts.cut(comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root")))
+    sizes = cuts.cut(comps.groupBy("root").agg(F.count("*").alias("size")))
+    members = comps.join(sizes, "root").join(names.withColumnRenamed("key", "node"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = members.select(F.col("root").alias("comp"), F.col("node").alias("member"), "rep", "copies", blocks.alias("blocks"))
     one = sets.select("key", "doc_id", "tokens")
@@ -316,15 +318,16 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     units = found.select("comp", F.col("member").alias("key"), "copies", "tokens", "blocks", block.alias("own"), F.explode(pairs).alias("p"))
     units = units.select(F.sha2(F.concat("comp", F.encode(F.concat_ws("/", "p.i", "p.j"), "utf-8")), 256).alias("unit"), (F.col("own") != F.col("p.i")).cast("int").alias("side"), "comp", "key", "copies", "tokens", "blocks")
     checked = cuts.cut(_verified(units))
+    cuts.drop(sets, reps, comps, sizes)
 
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     direct = checked.filter("blocks = 1").select(F.col("key").alias("node"), "root")
     merged = components(cuts, checked.filter("blocks > 1").select(F.col("key").alias("u"), F.col("root").alias("v")))
     roots = direct.unionByName(merged)
-    known = reps.select("key", "rep", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    known = known.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return sets.select("doc_id", *keys, "key", "n"), known.join(least, "root").select("key", "root", "class_id", "n_links", "copies")
+    known = names.join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    known = cuts.cut(known.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = cuts.cut(known.groupBy("root").agg(F.min("rep").alias("class_id")))
+    return rows, known.join(least, "root").select("key", "root", "class_id", "n_links", "copies")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -342,7 +345,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     placed = docs.withColumn("__row", F.monotonically_increasing_id())
     rows, known = classes(placed, "__row")
     grouped = rows.join(known, "key").select("__row", "doc_id", "root")
+    cuts = Cuts(docs.sparkSession)
+    grouped = cuts.cut(grouped)
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("f")).select("root", F.col("f.__row").alias("__first"))
+    first = cuts.cut(first)
     drop = grouped.join(first, "root").filter("__row != __first").select("__row")
     named = [F.col(f"`{c}`") for c in docs.columns]
     return placed.join(drop, "__row", "left_anti").select(*named)
