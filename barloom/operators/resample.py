@@ -16,6 +16,15 @@ def timeframe_minutes(name: str) -> int:
     return SECONDS[key] // 60
 
 
+def isoformat(column: str | Column) -> Column:
+    """Epoch seconds as UTC text, whatever the session's zone."""
+    column = F.col(column) if isinstance(column, str) else column
+    days, rest = F.floor(column / 86400).cast("int"), F.pmod(column, F.lit(86400))
+    part = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+    return F.concat(day, F.lit("T"), part(F.floor(rest / 3600)), F.lit(":"), part(F.floor(rest / 60) % 60), F.lit(":"), part(rest % 60), F.lit("+00:00"))
+
+
 def resample(bars: DataFrame, minutes: int, current_minutes: int = 1, low_as_max: bool = False) -> DataFrame:
     """First open, last close, extremes, mean spread and summed volumes per epoch-aligned bucket.
 

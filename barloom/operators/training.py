@@ -7,13 +7,38 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLINGS = ("none", "weights", "over", "under", "over_under", "smote", "smote_under")
 SEED = 44
-#: Presets of tree models (fixed values).
+#: Names of class sampling (fixed values); the first of each is what sampled() compares with.
+SAMPLINGS = (
+    ("none", "off", "false", "0"),
+    ("weights", "class_weight", "class_weights", "weighted"),
+    ("over", "oversample", "upsample", "up"),
+    ("under", "undersample", "downsample", "down"),
+    ("over_under", "upsample_undersample", "both"),
+    ("smote", "smote_over"),
+    ("smote_under", "smote_undersample"),
+)
+#: Presets of tree models (fixed values): trees, depth, step and the share of rows a tree sees.
 TREES = {
-    "default": {"maxDepth": 6, "maxIter": 50, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "shallow": {"maxDepth": 3, "maxIter": 30, "stepSize": 0.1, "subsamplingRate": 1.0},
-    "overfit": {"maxDepth": 10, "maxIter": 60, "stepSize": 0.3, "subsamplingRate": 1.0},
+    "default": {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8},
+    "baseline": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.10, "subsamplingRate": 0.80},
+    "balanced": {"maxIter": 600, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.80},
+    "deep_reg": {"maxIter": 800, "maxDepth": 8, "stepSize": 0.03, "subsamplingRate": 0.70},
+}
+#: Presets that should learn their training data by heart (fixed values).
+OVERFIT_TREES = {
+    "deep_dense": {"maxIter": 800, "maxDepth": 12, "stepSize": 0.3, "subsamplingRate": 1.0},
+    "shallow_many_trees": {"maxIter": 2000, "maxDepth": 6, "stepSize": 0.5, "subsamplingRate": 1.0},
+    "extreme_depth": {"maxIter": 500, "maxDepth": 20, "stepSize": 0.2, "subsamplingRate": 1.0},
+    "high_lr_no_reg": {"maxIter": 1000, "maxDepth": 10, "stepSize": 0.8, "subsamplingRate": 0.9},
+}
+#: Layers, steps and rows a step of dense nets of the same purpose (fixed values).
+OVERFIT_NETS = {
+    "wide_shallow": ((512, 512), 500, 16),
+    "deep_narrow": ((256, 256, 256, 256, 128), 600, 8),
+    "massive_overfit": ((1024, 1024, 512, 256), 600, 16),
+    "leaky_deep": ((512, 256, 256, 128, 128, 64), 600, 8),
+    "tiny_batch_brute": ((256, 128, 128, 64), 1000, 4),
 }
 GRID = {"maxDepth": (3, 6), "stepSize": (0.05, 0.2), "subsamplingRate": (0.7, 1.0)}
 
@@ -44,28 +69,47 @@ def place(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return own.join(F.broadcast(starts), "__part").withColumn("place", F.col("__first") + rank).select(*df.columns, "place")
 
 
-def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
+def sampling_name(name: str) -> str:
+    own = name.strip().lower().replace("-", "_")
+    for names in SAMPLINGS:
+        if own in names:
+            return names[0]
+    raise ValueError(f"Unknown sampling: {name}; known: {', '.join(n[0] for n in SAMPLINGS)}")
+
+
+CELL = 4096  # rows that one task ranks
+
+
+def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str, ...] = (), seed: int = SEED, vector: str = "vector") -> DataFrame:
     """Rows in other shares of the classes. over: repeat up to the largest class; under: pick down to the least.
 
-    Repeats and picks go by a hash of `keys`, so reruns agree and no row is ranked in one task:
-    class sizes come out in expectation. weights adds `weight`; none changes nothing.
+    Sizes come out exactly. Who is repeated or picked goes by a hash of `keys` (all columns, if
+    none are named), so reruns agree; ranks by it are counted in cells of about CELL rows and
+    added up, so that no task sees a whole class. weights adds `weight`; the smote forms return
+    label and vector only; after a sampling up, one down changes nothing more.
     """
-    if sampling not in SAMPLINGS:
-        raise ValueError(f"Unknown sampling: {sampling}")
-    if sampling == "none":
+    kind = sampling_name(sampling)
+    if kind == "none":
         return df
+    if kind.startswith("smote"):
+        return smote(df, label, vector, seed=seed)
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     all_ = Window.partitionBy()
-    counts = counts.select(label, "__n", F.max("__n").over(all_).alias("__most"), F.min("__n").over(all_).alias("__least"), F.avg("__n").over(all_).alias("__mean"), F.count("*").over(all_).alias("__k"), F.sum("__n").over(all_).alias("__all"))
+    counts = counts.select(label, "__n", F.max("__n").over(all_).alias("__most"), F.min("__n").over(all_).alias("__least"), F.count("*").over(all_).alias("__k"), F.sum("__n").over(all_).alias("__all"))
     rows = df.join(F.broadcast(counts), label)  # a row a class
     names = df.columns
-    if sampling == "weights":
+    if kind == "weights":
         return rows.select(*names, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    if sampling.startswith("smote"):
-        raise NotImplementedError("smote() makes new rows from vectors")
-    want = {"over": F.col("__most"), "under": F.col("__least"), "over_under": F.col("__mean")}[sampling] / F.col("__n")
-    chance = F.pmod(F.xxhash64(F.lit(seed), *(keys or names)), F.lit(1 << 52)) / float(1 << 52)
-    copies = F.floor(want).cast("int") + (chance < want - F.floor(want)).cast("int")
+    want = F.col("__least") if kind == "under" else F.col("__most")
+    more = want % F.col("__n")  # rows that come once more than the others
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *(keys or names)))
+    rows = rows.withColumn("__cell", F.pmod("__h", F.ceil(F.col("__n") / CELL)))
+    sizes = rows.groupBy(label, "__cell").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(label).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(label).alias("__label"), F.col("__cell").alias("__c"), F.coalesce(before, F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__h", *(keys or names))) - 1
+    rows = rows.join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__cell") == F.col("__c")))
+    copies = F.floor(want / F.col("__n")).cast("int") + (F.col("__first") + rank < more).cast("int")
     return rows.withColumn("__copies", copies).filter("__copies > 0").select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("__i")).drop("__i")
 
 
@@ -120,6 +164,16 @@ def fit_trees(train: DataFrame, classes: int, label: str = "label", vector: str
     return RandomForestClassifier(labelCol=label, seed=seed, maxDepth=params["maxDepth"], numTrees=params["maxIter"], subsamplingRate=params["subsamplingRate"], **more).fit(data)
 
 
+def fit_dense(train: DataFrame, layers: tuple[int, ...], classes: int, label: str = "label", vector: str = "vector", steps: int = 100, block: int = 128, seed: int = SEED):
+    """A multilayer perceptron in the role of a dense net; sigmoid layers, L-BFGS."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    size = len(train.select(vector).head(1)[0][0])
+    data = train.withColumn("features", array_to_vector(F.col(vector)))
+    return MultilayerPerceptronClassifier(labelCol=label, layers=[size, *layers, classes], maxIter=steps, blockSize=block, seed=seed).fit(data)
+
+
 def predict(model, df: DataFrame, vector: str = "vector") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 

@@ -154,3 +154,13 @@ def without_class(df: DataFrame, label: str, excluded: int = -1) -> DataFrame:
 def take_batches(df: DataFrame, batches: int, batch_size: int, *order: str) -> DataFrame:
     """The first batches in a stated order; a negative count takes all."""
     return df if batches < 0 else df.orderBy(*order).limit(batches * batch_size)
+
+
+def shuffled(df: DataFrame, seed: int = 44) -> DataFrame:
+    """Rows in an order of chance that reruns share."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)
+
+
+def input_spec(df: DataFrame, label: str = "label") -> dict[str, str]:
+    """Names and types of a frame's features."""
+    return {c: t for c, t in df.dtypes if c != label}

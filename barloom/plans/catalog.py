@@ -439,9 +439,11 @@ query("ordered_split", f"{SCORED} SELECT event_id, row_number() OVER (ORDER BY e
 query("sampled_weights", f"{SCORED}, c AS (SELECT label, count(*) AS n FROM scored GROUP BY 1), w AS (SELECT label, sum(n) OVER () / (count(*) OVER () * n) AS weight FROM c) SELECT event_id, weight FROM scored JOIN w USING (label)", "weight")(
     lambda s, d: training.sampled(scored(s, d), "weights").select("event_id", "weight")
 )
-query("oversample")(lambda s, d: training.sampled(scored(s, d), "over", keys=("event_id",)))
-query("undersample")(lambda s, d: training.sampled(scored(s, d), "under", keys=("event_id",)))
-query("over_under_sample")(lambda s, d: training.sampled(scored(s, d), "over_under", keys=("event_id",)))
+_SIZED = "{s}, c AS (SELECT label, count(*) AS n FROM scored GROUP BY 1) SELECT label, (SELECT {f}(n) FROM c) AS total FROM c"
+for _name, _how, _fold in (("oversample", "over", "max"), ("undersample", "under", "min"), ("over_under_sample", "over_under", "max")):
+    query(f"{_name}_sizes", _SIZED.format(s=SCORED, f=_fold))(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)).groupBy("label").agg(F.count("*").alias("total")))
+    query(_name)(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)))
+query("iso_times", f"{BARS} SELECT symbol, time, strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM bars")(lambda s, d: h1(s, d).select("symbol", "time", resample.isoformat("time").alias("iso")))
 query("smote_sample")(lambda s, d: training.smote(vectors(s, d)).select("label", *(F.round(F.get("vector", F.lit(i)), 6).alias(f"x{i}") for i in range(4))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import clustering, ensemble, evaluation, statistics, training
 from barloom.operators.windows import TimeTarget
-from barloom.plans import trainer
+from barloom.plans import probes, trainer
 from barloom.sources.datasets import Store, digest
 from barloom.sources.settings import Settings, Storage, r2_endpoint
 
@@ -74,9 +74,10 @@ def test_kmeans_step_keeps_lonely_centroid(spark):
 
 def test_sampling(spark):
     df = spark.createDataFrame([(i, int(i % 10 == 0), [float(i % 7), float(i % 3)]) for i in range(2000)], "id int, label int, vector array<double>")
-    for how, want in (("over", (1800, 1800)), ("under", (200, 200)), ("over_under", (1000, 1000))):
+    for how, want in (("over", 1800), ("downsample", 200), ("both", 1800)):
         got = {r["label"]: r["count"] for r in training.sampled(df, how, keys=("id",)).groupBy("label").count().collect()}
-        assert got[0] == pytest.approx(want[0], rel=0.15) and got[1] == pytest.approx(want[1], rel=0.15)
+        assert got == {0: want, 1: want}
+    assert training.sampled(df, "off") is df and training.sampled(df, "weighted").filter("label = 1").first()["weight"] == 5
     made = {r["label"]: r["count"] for r in training.smote(df.select("label", "vector")).groupBy("label").count().collect()}
     assert made[0] == 1800 and made[1] == pytest.approx(1800, rel=0.1)
     with pytest.raises(ValueError):
@@ -87,6 +88,21 @@ def test_sampling(spark):
     assert params == {"maxDepth": 2, "maxIter": 2} and score > 0.5
 
 
+def test_probes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, i % 3, [float(i % 3) + rng.random() / 4, rng.random()], float(i % 3)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, label int, vector array<double>, x double")
+    small = {"small": {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 1.0}}
+    found, passed = probes.feature_potential(df, presets=small)
+    assert passed and found.first()["accuracy"] > 0.95
+    assert probes.train_and_evaluate(df, ("id",), presets=small | {"balanced": small["small"]}).count() == 2
+    assert probes.net_overfit(df, presets={"n": ((6,), 60, 32)})[1]
+    scores = {r["feature"]: r["importance"] for r in probes.feature_importance(df.drop("x"), ("vector",)).collect()}
+    assert scores == {"vector": 1}
+    probes.write_backtest(spark.createDataFrame([(2, "BUY", 1.0), (1, "SELL", 2.0)], "timestamp long, signal_type string, price double"), str(tmp_path), {"b": 1})
+    assert [r["timestamp"] for r in spark.read.option("header", True).csv(f"{tmp_path}/signals").collect()] == ["1", "2"]
+
+
 def test_store_and_settings(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     df = spark.range(5)
