@@ -10,7 +10,7 @@ that copies never meet pairwise.
    finds. A pair at the threshold keeps at least one common node with a chance of
    0.78 at any depth, so RUNS runs lose one in some 10 ** 5; more similar pairs less.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
-   on sketches, inside a task; the sets of larger ones go on, TWICE each, over four
+   on sketches, inside a task; the sets of larger ones go on, TIMES times each, over four
    more tokens without forks. What is still together in large numbers then shares six
    tokens and is linked to its least member. This gives candidates; nothing is dropped
    at any step.
@@ -39,7 +39,7 @@ from .components import Forest, components
 
 N = 5
 SKETCH, RUNS = 64, 8
-FORKED, STRAIGHT, TWICE = 2, 4, 2
+FORKED, STRAIGHT, TIMES = 2, 4, 4
 SMALL, BLOCK = 256, 2048
 #: Candidates agree in this share of their sketches; four deviations below the threshold.
 AGREE = 0.6
@@ -147,8 +147,8 @@ def _walked(rows: DataFrame) -> DataFrame:
                 member, path = walk(sketches, np.tile(np.arange(n), RUNS), start, FORKED)
             else:
                 with np.errstate(over="ignore"):
-                    starts = [_mix(b.column("path").to_numpy().view(_U) + _U(t + 1) * _MIX[2]) for t in range(TWICE)]
-                member, path = np.tile(np.arange(n), TWICE), np.concatenate([straight(sketches, p) for p in starts])
+                    starts = [_mix(b.column("path").to_numpy().view(_U) + _U(t + 1) * _MIX[2]) for t in range(TIMES)]
+                member, path = np.tile(np.arange(n), TIMES), np.concatenate([straight(sketches, p) for p in starts])
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("key").take(pa.array(member))], names=["path", "key"])
 
     return rows.mapInArrow(run, "path long, key binary")
