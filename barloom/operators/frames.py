@@ -56,11 +56,6 @@ def past(size: int):
     return in_block().rowsBetween(-(size - 1), 0)
 
 
-def ahead(size: int):
-    """The frame of the next `size` rows."""
-    return in_block().rowsBetween(1, size)
-
-
 def recurrence(rows: DataFrame, inputs: dict[str, str], keep: float, block: int = 512) -> DataFrame:
     """Adds y[t] = keep * y[t-1] + u[t] for each output: input in `inputs`; rows: symbol, rn and more.
 

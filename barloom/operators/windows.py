@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import floor_divide
 from barloom.sources.bars import FEATURES, REQUIRED
 
-from .frames import ahead, framed, numbered, past
+from .frames import framed, numbered
 
 
 @dataclass(frozen=True)
@@ -40,26 +40,41 @@ def at_least(bars: DataFrame, length: int) -> DataFrame:
     return df.filter(F.when(F.col("n") >= length, True).otherwise(F.raise_error(F.format_string("%s has %d rows, fewer than needed", "symbol", "n")).cast("boolean"))).drop("rn", "n")
 
 
-def anchored(length: int, stride: int) -> Column:
+def anchored(rn: Column, length: int, stride: int) -> Column:
     """Whether a row is the last of a window."""
-    return (F.col("rn") >= length - 1) & ((F.col("rn") - (length - 1)) % stride == 0)
+    return (rn >= length - 1) & ((rn - (length - 1)) % stride == 0)
 
 
 def windows(bars: DataFrame, length: int, stride: int = 1, features: tuple[str, ...] = ("time", *FEATURES), target: TimeTarget | PointsTarget | None = None, point: Column | float = 1.0) -> DataFrame:
     """One row a window: symbol, rn and end_time of its last bar, arrays of the features, and targets.
 
-    Scalar frames and the arrays share one sort; rows that end no window are dropped at once.
+    A block's rows are gathered once, in order, and windows are slices of them: work goes with
+    the number of windows, not with rows times length. One shuffle deals the blocks.
     With a target, windows whose horizon is cut off by the end of the series are left out.
     """
     if isinstance(target, PointsTarget):
         raise NotImplementedError("Only targets by time are defined")
-    df = framed(bars, before=length, after=target.rows if target else 0)
-    columns = target_columns(target, point) if target else {}
-    df = df.withColumns(columns | {f"__{c}": F.collect_list(c).over(past(length)) for c in features})
-    keep = F.col("own") & anchored(length, stride)
-    if target:
-        keep = keep & (F.col("rn") + target.rows < F.col("n"))
-    return df.filter(keep).select("symbol", "rn", F.col("time").alias("end_time"), *(F.col(f"__{c}").alias(c) for c in features), *columns)
+    after = target.rows if target else 0
+    columns = list(dict.fromkeys(("time", *features, *(("high", "low", "close") if target else ()))))
+    point_column = isinstance(point, Column)
+    df = framed(bars, before=length, after=after)
+    if point_column:
+        df = df.withColumn("__point", point)
+    item = F.struct("rn", "own", *columns)
+    blocks = df.groupBy("symbol", "block").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(item)).alias("rows"), *([F.max("__point").alias("__point")] if point_column else []))
+    series = F.array(F.struct(*(F.col("rows")[c].alias(c) for c in columns), F.get("rows", F.lit(0))["rn"].alias("__first")))
+
+    def one(t: Column, rn: Column) -> Column:
+        at = (rn - t["__first"]).cast("int")  # 0-based place in the block
+        parts = [rn.alias("rn"), F.get(t["time"], at).alias("end_time"), *(F.slice(t[c], at - (length - 2), length).alias(c if c != "time" else "__time") for c in features)]
+        if target:
+            parts += [c.alias(n) for n, c in target_columns(target, F.col("__point") if point_column else F.lit(point), t, at).items()]
+        return F.struct(*parts)
+
+    anchors = F.transform(F.filter("rows", lambda x: x["own"] & anchored(x["rn"], length, stride) & (x["rn"] + after < F.col("n"))), lambda x: x["rn"])
+    made = F.transform(series, lambda t: F.transform(anchors, lambda rn: one(t, rn)))[0]
+    out = blocks.select("symbol", F.explode(made).alias("w")).select("symbol", "w.*")
+    return out.withColumnRenamed("__time", "time") if "time" in features else out
 
 
 def targets(bars: DataFrame, length: int, stride: int, target: TimeTarget, point: Column | float = 1.0) -> DataFrame:
@@ -67,20 +82,22 @@ def targets(bars: DataFrame, length: int, stride: int, target: TimeTarget, point
     return windows(bars, length, stride, (), target, point)
 
 
-def target_columns(target: TimeTarget, point: Column | float) -> dict[str, Column]:
-    """The lowest price counts from the entry down, and the last one too: it is positive when the price fell."""
-    w, entry = ahead(target.rows), F.col("close")
+def target_columns(target: TimeTarget, point: Column, series: Column, at: Column) -> dict[str, Column]:
+    """Targets of the bar at a place of a series (a struct of arrays).
+
+    The lowest price counts from the entry down, and the last one too: it is positive when the price fell.
+    """
+    ahead = {c: F.slice(series[c], at + 2, target.rows) for c in ("high", "low", "close")}
     if target.mode == "prices":
-        return {f"target_{c}": F.collect_list(c).over(w) for c in ("high", "low", "close")}
+        return {f"target_{c}": v for c, v in ahead.items()}
     if target.mode not in ("points", "raw_difference"):
         raise ValueError(f"Unknown mode: {target.mode}")
-    point = F.lit(point) if not isinstance(point, Column) else point
     make = (lambda a, b: floor_divide(a - b, point)) if target.mode == "points" else (lambda a, b: a - b)
-    last = F.last("close").over(w)
+    entry = F.get(series["close"], at)
     return {
-        "target_highest": make(F.max("high").over(w), entry),
-        "target_lowest": make(entry, F.min("low").over(w)),
-        "target_value": make(entry, last),
+        "target_highest": make(F.array_max(ahead["high"]), entry),
+        "target_lowest": make(entry, F.array_min(ahead["low"])),
+        "target_value": make(entry, F.get(series["close"], at + target.rows)),
         "entry": entry,
     }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_indicators import bars_of
 
 from barloom.functions.numeric import divide_no_nan, floor_divide, safe_ln
-from barloom.operators import resample, windows
+from barloom.operators import frames, resample, windows
 
 CLOSE = [10, 11, 12, 11, 10, 9, 10, 12]
 
@@ -80,3 +80,13 @@ def test_resample(spark):
     made = resample.resample_windows(windows.windows(bars_of(spark, x), 60, 1), 10, 60).first()
     assert made["time"] == [1200, 1800, 2400, 3000] and made["open"] == [21, 31, 41, 51] and made["close"] == [30, 40, 50, 60] and made["low"] == [21, 31, 41, 51]
     assert made["tick_vol"] == [10] * 4
+
+
+def test_windows_over_block_borders(spark, monkeypatch):
+    x = list(np.random.default_rng(4).normal(50, 3, 200))
+    df = bars_of(spark, x).unionByName(bars_of(spark, x[:40], symbol="t"))
+    target = windows.TimeTarget(7, "raw_difference")
+    take = lambda: sorted((r["symbol"], r["rn"], tuple(r["close"]), r["target_value"], r["target_highest"]) for r in windows.windows(df, 24, 3, target=target).collect())
+    want = take()
+    monkeypatch.setattr(frames.framed, "__defaults__", (0, 0, 16))
+    assert take() == want and len(want) == len(range(23, 193, 3)) + len(range(23, 33, 3))
