@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Cuts:
-    """Writes tables to the shared folder and reads them back, to end a lineage."""
+    """Writes tables to the shared folder and reads them back, to end a lineage.
+
+    Results may read them for as long as the driver runs; its end removes what is left.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}", []
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        atexit.register(self._remove, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made)}"
@@ -69,10 +77,13 @@ class Cuts:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(next(p for t, p in self.made if t is table))
-            path.getFileSystem(conf).delete(path, True)
+            self._remove(next(p for t, p in self.made if t is table))
+
+    def _remove(self, path: str) -> None:
+        with contextlib.suppress(Py4JError, OSError):  # at the end the JVM may be gone
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.conf).delete(path, True)
 
 
 class Memo(dict):
