@@ -16,8 +16,8 @@ that copies never meet pairwise.
    at any step.
 3. Candidates' components are gathered with their sets, once a set, and every pair
    inside is decided exactly: 9 * common >= 4 * (sizes' sum). A component beyond BLOCK
-   sets is cut into blocks, and each pair of blocks is a task of its own. Pairs are
-   counted and merged there and never leave the task as rows.
+   sets or TOKENS elements is cut into blocks, and each pair of blocks is a task of its
+   own. Pairs are counted and merged there and never leave the task as rows.
 
 Results: one row per document with class_id, the least doc_id of its connected
 component, and n_links, the number of other documents that it is similar to.
@@ -40,7 +40,7 @@ from .components import Forest, components
 N = 5
 SKETCH, RUNS = 64, 8
 FORKED, STRAIGHT, TIMES = 2, 4, 4
-SMALL, BLOCK = 256, 2048
+SMALL, BLOCK, TOKENS = 256, 2048, 2_000_000
 #: Candidates agree in this share of their sketches; four deviations below the threshold.
 AGREE = 0.6
 COLUMNS = 2048  # tokens of the exact comparison at once
@@ -301,15 +301,16 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     cuts = cuts or Cuts(docs.sparkSession)
     sets = cuts.cut(_sets(docs, keys))
     rows = cuts.cut(sets.select("doc_id", *keys, "key", "n"))
-    reps = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    reps = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = cuts.cut(reps)
-    names = cuts.cut(reps.select("key", "rep", "copies"))
+    names = cuts.cut(reps.select("key", "rep", "copies", "n"))
 
     comps = components(cuts, candidates(cuts, reps))
-    comps = cuts.cut(comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root")))
-    sizes = cuts.cut(comps.groupBy("root").agg(F.count("*").alias("size")))
-    members = comps.join(sizes, "root").join(names.withColumnRenamed("key", "node"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    comps = comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root"))
+    comps = cuts.cut(comps.join(names.withColumnRenamed("key", "node"), "node"))
+    sizes = cuts.cut(comps.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
+    members = comps.join(sizes, "root")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("tokens") / TOKENS))).cast("int")
     members = members.select(F.col("root").alias("comp"), F.col("node").alias("member"), "rep", "copies", blocks.alias("blocks"))
     one = sets.select("key", "doc_id", "tokens")
     found = members.join(one, (members["member"] == one["key"]) & members["rep"].eqNullSafe(one["doc_id"]))
@@ -324,7 +325,7 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     direct = checked.filter("blocks = 1").select(F.col("key").alias("node"), "root")
     merged = components(cuts, checked.filter("blocks > 1").select(F.col("key").alias("u"), F.col("root").alias("v")))
     roots = direct.unionByName(merged)
-    known = names.join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    known = names.drop("n").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     known = cuts.cut(known.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = cuts.cut(known.groupBy("root").agg(F.min("rep").alias("class_id")))
     return rows, known.join(least, "root").select("key", "root", "class_id", "n_links", "copies")

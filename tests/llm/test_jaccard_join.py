@@ -65,10 +65,12 @@ def test_against_brute_force(spark):
 
 def test_large_nodes_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(j, "SMALL", 8)
-    monkeypatch.setattr(j, "BLOCK", 16)
     rows = corpus(20, 90, 4)
-    got = j.join(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows)
+    for name, value in (("BLOCK", 16), ("TOKENS", 900)):
+        with monkeypatch.context() as m:
+            m.setattr(j, name, value)
+            got = j.join(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows)
 
 
 def test_recall_at_threshold():
