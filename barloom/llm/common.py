@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,7 @@ class Cuts:
 class Memo(dict):
     """Values of a function by word, at most `most` at a time."""
 
-    def __init__(self, function: Callable, most: int = 150_000):
+    def __init__(self, function: Callable, most: int = 300_000):
         super().__init__()
         self.function, self.most = function, most
 
@@ -100,6 +101,33 @@ class Memo(dict):
         return value
 
 
+class HashTable(dict):
+    """Hashes (unsigned 64 bits, so many) of words, computed once while a word is held; about `most` words at a time."""
+
+    def __init__(self, function: Callable[[str], tuple[int, ...]], width: int, most: int = 300_000):
+        super().__init__()
+        self.function, self.most, self.new = function, most, []
+        self.columns = np.zeros((width, most), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(self.function(word))
+        return place
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """One row for each hash, one column for each word."""
+        if len(self) + len(words) > self.columns.shape[1]:
+            self.clear()
+            if len(words) > self.columns.shape[1]:
+                self.columns = np.zeros((len(self.columns), len(words)), np.uint64)
+        held = len(self)
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.columns[:, held : len(self)] = np.array(self.new, np.uint64).T
+            self.new = []
+        return self.columns[:, places]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
     """text and y of at most `most` labelled rows outside the held-out fold.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, fold, id_and_text, labelled_sample, map_batches
+from .common import WORD, HashTable, fold, id_and_text, labelled_sample, map_batches
 
 BITS, STEMS = 20, (4, 6)
 SAMPLE = 10000
@@ -39,16 +39,11 @@ _MASK = np.uint64((1 << BITS) - 1)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.strip(_EDGE).lower())
-
-
-def _stem_hash(letters: int):
-    def hashed(word: str) -> int:
-        bare = word.strip(_EDGE).lower()
-        return xxhash.xxh3_64_intdigest(f"^{letters}{bare[:letters]}") if len(bare) > letters else 0
-
-    return hashed
+def _hashes(word: str) -> tuple[int, ...]:
+    """Of the bare word and of its stems; 0 where it is no longer than a stem."""
+    bare = word.strip(_EDGE).lower()
+    h = xxhash.xxh3_64_intdigest
+    return h(bare), *(h(bare[:k], k) if len(bare) > k else 0 for k in STEMS)
 
 
 def _folded(h: np.ndarray) -> np.ndarray:
@@ -58,17 +53,15 @@ def _folded(h: np.ndarray) -> np.ndarray:
 
 class Features:
     def __init__(self):
-        self.words, self.stems = Memo(_word_hash), [Memo(_stem_hash(k)) for k in STEMS]
+        self.table = HashTable(_hashes, 1 + len(STEMS))
 
     def all(self, text: str) -> np.ndarray:
         """Hashed features with repetitions; 0 is kept for the intercept."""
         found = WORD.findall(text)
-        n = len(found)
-        if not n:
+        if not found:
             return np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
-            one = np.fromiter(map(self.words.__getitem__, found), np.uint64, n)
-            stems = [np.fromiter(map(m.__getitem__, found), np.uint64, n) for m in self.stems]
+            one, *stems = self.table.hashes(found)
             two = one[:-1] * _MIX[0] + one[1:] * _MIX[1]
             skip = one[:-2] * _MIX[2] + one[2:] * _MIX[0] + np.uint64(1)
             out = _folded(np.concatenate([one, *(s[s > 0] for s in stems), two, skip]))
