@@ -10,8 +10,8 @@ that copies never meet pairwise.
    finds. A pair at the threshold keeps at least one common node with a chance of
    0.78 at any depth, so RUNS runs lose one in some 10 ** 5; more similar pairs less.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
-   on sketches, inside a task; the sets of larger ones go on, TIMES times each, over four
-   more tokens without forks. What is still together in large numbers then shares six
+   on sketches, inside a task; the sets of larger ones go on, TIMES times each, over three
+   more tokens without forks. What is still together in large numbers then shares five
    tokens and is linked to its least member. This gives candidates; nothing is dropped
    at any step.
 3. Candidates' components are gathered with their sets, once a set, and every pair
@@ -39,7 +39,7 @@ from .components import Forest, components
 
 N = 5
 SKETCH, RUNS = 64, 8
-FORKED, STRAIGHT, TIMES = 2, 4, 4
+FORKED, STRAIGHT, TIMES = 2, 3, 2
 SMALL, BLOCK, TOKENS = 256, 2048, 2_000_000
 #: Candidates agree in this share of their sketches; four deviations below the threshold.
 AGREE = 0.6

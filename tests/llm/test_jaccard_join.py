@@ -86,7 +86,7 @@ def test_recall_at_threshold():
         common = np.intersect1d(path[member == 0], path[member == 1])
         ends = [j.straight(np.tile(x, (len(common) * j.TIMES, 1)), np.concatenate([j._mix(common + np.uint64(t + 1) * j._MIX[2]) for t in range(j.TIMES)])) for x in (a, b)]
         lost[1] += not (ends[0] == ends[1]).any()
-    assert lost[0] <= 1 and lost[1] <= 1, lost
+    assert lost[0] <= 1 and lost[1] <= 2, lost
 
 
 def test_components(spark):
