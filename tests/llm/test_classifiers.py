@@ -66,3 +66,13 @@ def test_l1_leaves_few_weights():
     rows = [(np.unique(np.concatenate([rng.integers(10, 5000, 40), [1] if i % 3 == 0 else [2]])), int(i % 3 == 0)) for i in range(600)]
     at, values, _ = t.train(rows)
     assert 1 in at and len(at) < 200 and values[list(at).index(1)] > 0
+
+
+def test_hash_table_forgets_and_grows():
+    from barloom.llm.common import HashTable
+
+    table = HashTable(lambda w: (len(w), ord(w[0])), 2, most=10)
+    rng = random.Random(3)
+    for size in (3, 6, 4, 25, 2, 40, 9):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(size)]
+        assert table.hashes(words).tolist() == [[len(w) for w in words], [ord(w[0]) for w in words]]
