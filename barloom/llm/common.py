@@ -90,7 +90,7 @@ class Cuts:
 class Memo(dict):
     """Values of a function by word, at most `most` at a time."""
 
-    def __init__(self, function: Callable, most: int = 300_000):
+    def __init__(self, function: Callable, most: int = 150_000):
         super().__init__()
         self.function, self.most = function, most
 
@@ -104,7 +104,7 @@ class Memo(dict):
 class HashTable(dict):
     """Hashes (unsigned 64 bits, so many) of words, computed once while a word is held; about `most` words at a time."""
 
-    def __init__(self, function: Callable[[str], tuple[int, ...]], width: int, most: int = 300_000):
+    def __init__(self, function: Callable[[str], tuple[int, ...]], width: int, most: int = 200_000):
         super().__init__()
         self.function, self.most, self.new = function, most, []
         self.columns = np.zeros((width, most), np.uint64)

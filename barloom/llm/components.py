@@ -39,15 +39,15 @@ def components(cuts: Cuts, edges: DataFrame) -> DataFrame:
     own = cuts.cut(down)
     before = sign(own)
     while before[0]:
-        # minima are cut before they are joined: only then Spark can split a hub's rows in the join
+        # these minima are cut before they are joined: only then Spark can split a hub's rows in the join
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cuts.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = cuts.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         cuts.drop(own, least)
-        least = cuts.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # no hubs here: u is the greater end
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = cuts.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        cuts.drop(large, least)
+        cuts.drop(large)
         now = sign(own)
         if now == before:
             break

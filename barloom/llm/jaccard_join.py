@@ -208,14 +208,13 @@ def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
         counted = paths.groupBy("path").agg(F.count("*").alias("c"), F.min("key").alias("v")).filter("c > 1")
         return cuts.cut(paths.join(counted, "path"))
 
-    def compared(nodes):
-        return _bucket_edges(nodes.filter(F.col("c") <= SMALL).select("path", "key").join(sketches, "key"))
-
     first = shared(_walked(sketches))
     large = first.filter(F.col("c") > SMALL).select("path", "key").join(sketches, "key")
-    then = shared(_walked(large))
+    onward = cuts.cut(_walked(large))  # read twice
+    then = shared(onward)
+    small = first.unionByName(then).filter(F.col("c") <= SMALL).select("path", "key")
     linked = then.filter((F.col("c") > SMALL) & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v")
-    return compared(first).unionByName(compared(then)).unionByName(linked)
+    return _bucket_edges(small.join(sketches, "key")).unionByName(linked)
 
 
 def similar(own: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
