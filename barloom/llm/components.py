@@ -36,17 +36,17 @@ def components(cuts: Cuts, edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    own = cuts.cut(down)
+    own = cuts.cut(down, thin=True)
     before = sign(own)
     while before[0]:
         # these minima are cut before they are joined: only then Spark can split a hub's rows in the join
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cuts.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cuts.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cuts.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), thin=True)
+        large = cuts.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), thin=True)
         cuts.drop(own, least)
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # no hubs here: u is the greater end
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = cuts.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        own = cuts.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), thin=True)
         cuts.drop(large)
         now = sign(own)
         if now == before:

@@ -206,11 +206,11 @@ def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
 
     def shared(paths):
         counted = paths.groupBy("path").agg(F.count("*").alias("c"), F.min("key").alias("v")).filter("c > 1")
-        return cuts.cut(paths.join(counted, "path"))
+        return cuts.cut(paths.join(counted, "path"), thin=True)
 
     first = shared(_walked(sketches))
     large = first.filter(F.col("c") > SMALL).select("path", "key").join(sketches, "key")
-    onward = cuts.cut(_walked(large))  # read twice
+    onward = cuts.cut(_walked(large), thin=True)  # read twice
     then = shared(onward)
     small = first.unionByName(then).filter(F.col("c") <= SMALL).select("path", "key")
     linked = then.filter((F.col("c") > SMALL) & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v")
@@ -302,12 +302,12 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     rows = cuts.cut(sets.select("doc_id", *keys, "key", "n"))
     reps = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = cuts.cut(reps)
-    names = cuts.cut(reps.select("key", "rep", "copies", "n"))
+    names = cuts.cut(reps.select("key", "rep", "copies", "n"), thin=True)
 
     comps = components(cuts, candidates(cuts, reps))
     comps = comps.unionByName(comps.select("root", "root").distinct().toDF("node", "root"))
-    comps = cuts.cut(comps.join(names.withColumnRenamed("key", "node"), "node"))
-    sizes = cuts.cut(comps.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
+    comps = cuts.cut(comps.join(names.withColumnRenamed("key", "node"), "node"), thin=True)
+    sizes = cuts.cut(comps.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")), thin=True)
     members = comps.join(sizes, "root")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("tokens") / TOKENS))).cast("int")
     members = members.select(F.col("root").alias("comp"), F.col("node").alias("member"), "rep", "copies", blocks.alias("blocks"))
@@ -325,8 +325,8 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     merged = components(cuts, checked.filter("blocks > 1").select(F.col("key").alias("u"), F.col("root").alias("v")))
     roots = direct.unionByName(merged)
     known = names.drop("n").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    known = cuts.cut(known.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    least = cuts.cut(known.groupBy("root").agg(F.min("rep").alias("class_id")))
+    known = cuts.cut(known.select("key", "rep", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), thin=True)
+    least = cuts.cut(known.groupBy("root").agg(F.min("rep").alias("class_id")), thin=True)
     return rows, known.join(least, "root").select("key", "root", "class_id", "n_links", "copies")
 
 
