@@ -204,14 +204,14 @@ def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
     """Edges (u, v) between keys whose components hold every similar pair; reps: key, sketch."""
     sketches = reps.select("key", "sketch")
 
-    def shared(paths):
+    def shared(paths, thin):
         counted = paths.groupBy("path").agg(F.count("*").alias("c"), F.min("key").alias("v")).filter("c > 1")
-        return cuts.cut(paths.join(counted, "path"), thin=True)
+        return cuts.cut(paths.join(counted, "path"), thin)
 
-    first = shared(_walked(sketches))
+    first = shared(_walked(sketches), thin=False)
     large = first.filter(F.col("c") > SMALL).select("path", "key").join(sketches, "key")
     onward = cuts.cut(_walked(large), thin=True)  # read twice
-    then = shared(onward)
+    then = shared(onward, thin=True)
     small = first.unionByName(then).filter(F.col("c") <= SMALL).select("path", "key")
     linked = then.filter((F.col("c") > SMALL) & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v")
     return _bucket_edges(small.join(sketches, "key")).unionByName(linked)
