@@ -419,16 +419,21 @@ _K = f"{_C}, p AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings)
 
 
 def vectors(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.slice("embedding", 1, 4).cast("array<double>").alias("vector"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
 
 
-query("kmeans_assign", f"{_K} SELECT vec_id, cluster, distance FROM a", "distance")(lambda s, d: clustering.assign(vectors(s, d), CENTROIDS).select("vec_id", "cluster", "distance"))
+def heads(spark, sf_dir):
+    """The first four values of each vector: what the SQL of kmeans_assign, kmeans_step and kmeans_loss reads, and no other query."""
+    return vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 4))
+
+
+query("kmeans_assign", f"{_K} SELECT vec_id, cluster, distance FROM a", "distance")(lambda s, d: clustering.assign(heads(s, d), CENTROIDS).select("vec_id", "cluster", "distance"))
 query(
     "kmeans_step",
     f"{_K} SELECT c.cluster, count(vec_id) AS members, " + ", ".join(f"coalesce(avg(v[{i + 1}]), any_value(w[{i + 1}])) AS x{i}" for i in range(4)) + " FROM c LEFT JOIN a USING (cluster) GROUP BY 1",
     "x0 x1 x2 x3",
-)(lambda s, d: clustering.step(vectors(s, d), CENTROIDS).select("cluster", "members", *(F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(4))))
-query("kmeans_loss", f"{_K} SELECT avg(distance) AS loss FROM a", "loss")(lambda s, d: clustering.loss(vectors(s, d), CENTROIDS))
+)(lambda s, d: clustering.step(heads(s, d), CENTROIDS).select("cluster", "members", *(F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(4))))
+query("kmeans_loss", f"{_K} SELECT avg(distance) AS loss FROM a", "loss")(lambda s, d: clustering.loss(heads(s, d), CENTROIDS))
 query("kmeans_fit")(lambda s, d: clustering.predict(clustering.fit(vectors(s, d), 5), vectors(s, d)).select("vec_id", F.col("prediction").alias("cluster")))
 
 # Training and data sets
@@ -444,7 +449,13 @@ for _name, _how, _fold in (("oversample", "over", "max"), ("undersample", "under
     query(f"{_name}_sizes", _SIZED.format(s=SCORED, f=_fold))(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)).groupBy("label").agg(F.count("*").alias("total")))
     query(_name)(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)))
 query("iso_times", f"{BARS} SELECT symbol, time, strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM bars")(lambda s, d: h1(s, d).select("symbol", "time", resample.isoformat("time").alias("iso")))
-query("smote_sample")(lambda s, d: training.smote(vectors(s, d)).select("label", *(F.round(F.get("vector", F.lit(i)), 6).alias(f"x{i}") for i in range(4))))
+
+
+@query("smote_sample")
+def smote_sample(spark, sf_dir):
+    own = vectors(spark, sf_dir)
+    width = max((len(r["vector"]) for r in own.head(1)), default=0)
+    return training.smote(own).select("label", *(F.round(F.get("vector", F.lit(i)), 6).alias(f"x{i}") for i in range(width)))
 
 
 def _binary(spark, sf_dir):

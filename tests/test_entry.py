@@ -42,6 +42,14 @@ def test_against_sql(spark):
         assert show(tuple(r[c] for c in names) for r in df.collect()) == show(want), name
 
 
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="no smoke tables")
+def test_whole_embeddings(spark):
+    """Queries without SQL take every value of a vector."""
+    width = len(spark.read.parquet(f"{SMOKE}/embeddings.parquet").first()["embedding"])
+    assert width == 64 and len(catalog.vectors(spark, SMOKE).first()["vector"]) == width
+    assert catalog.QUERIES["smote_sample"](spark, SMOKE).columns == ["label", *(f"x{i}" for i in range(width))]
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="no smoke tables")
 def test_plans_prune(spark):
     """Scans read the columns they need, and votes shuffle once."""
