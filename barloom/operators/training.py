@@ -113,42 +113,62 @@ def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str,
     return rows.withColumn("__copies", copies).filter("__copies > 0").select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("__i")).drop("__i")
 
 
-def smote(df: DataFrame, label: str = "label", vector: str = "vector", cells: int = 32, neighbours: int = 5, seed: int = SEED) -> DataFrame:
+SMOTE_BLOCK = 2048  # distinct vectors of a class on either side of one task's comparison
+
+
+def smote(df: DataFrame, label: str = "label", vector: str = "vector", neighbours: int = 5, seed: int = SEED, block: int = SMOTE_BLOCK) -> DataFrame:
     """label and vector of df's rows and of new ones between neighbours, until classes are equal in expectation.
 
-    Neighbours are sought inside cells of random hyperplanes, in one bounded group per (class,
-    cell, salt): an approximation of nearest neighbours that splits a class of any size.
+    Neighbours are the exact nearest of the whole class, by squared distance and then by the
+    vector; copies count as neighbours at distance 0. Each class's distinct vectors are dealt
+    in blocks, every block of those that get new rows meets every block of the class in a task
+    of its own, and the nearest of each task are merged. The work is quadratic in a class's
+    distinct vectors, of which the largest class needs none. A vector without others in its
+    class is repeated.
     """
     import numpy as np
     import pandas as pd
 
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__want", F.max("__n").over(Window.partitionBy()) / F.col("__n"))
-    rows = df.select(label, vector).join(F.broadcast(counts), label)
-    size = len(df.select(vector).head(1)[0][0])
-    planes = np.random.default_rng(seed).normal(size=(max(1, cells.bit_length() - 1), size)).tolist()
-    side = lambda p: F.aggregate(F.zip_with(F.col(vector), F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0
-    cell = sum((F.when(side(p), 1 << i).otherwise(0) for i, p in enumerate(planes)), F.lit(0))
-    salt = F.pmod(F.xxhash64(vector), F.ceil(F.col("__n") / (cells * 512)))
-    rows = rows.withColumns({"__cell": cell, "__salt": salt})
-
-    def make(pdf):
-        x = np.stack(pdf[vector].to_numpy())
-        want = float(pdf["__want"].iloc[0]) - 1
-        rng = np.random.default_rng([seed, int(pdf["__cell"].iloc[0]), int(pdf["__salt"].iloc[0])])
-        x = x[np.lexsort(x.T)]
-        new = []
-        for i in range(len(x)):
-            for _ in range(int(want) + (rng.random() < want - int(want))):
-                if len(x) == 1:
-                    new.append(x[i])
-                    continue
-                d = ((x - x[i]) ** 2).sum(1)
-                near = np.argsort(d, kind="stable")[1 : neighbours + 1]
-                new.append(x[i] + rng.random() * (x[rng.choice(near)] - x[i]))
-        return pd.DataFrame({label: [pdf[label].iloc[0]] * (len(x) + len(new)), vector: [*map(list, x), *map(list, new)]})
-
-    return rows.groupBy(label, "__cell", "__salt").applyInPandas(make, df.select(label, vector).schema)
+    counts = counts.withColumn("__want", F.max("__n").over(Window.partitionBy()) / F.col("__n") - 1)
+    chance = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), *salt, "__v"), F.lit(1 << 52)) / float(1 << 52)
+    own = df.select(F.col(label).alias("__l"), F.col(vector).alias("__v")).groupBy("__l", "__v").agg(F.count("*").alias("__c"))
+    own = own.join(F.broadcast(counts.withColumnRenamed(label, "__l")), "__l")  # a row a class
+    own = own.withColumn("__new", F.floor(F.col("__c") * F.col("__want") + chance(F.lit("new"))))
+    blocks = F.ceil(F.col("__n") / block)
+    own = own.withColumns({"__b": F.pmod(F.xxhash64("__v"), blocks), "__all": F.sequence(F.lit(0).cast("long"), blocks - 1)})
+    asked = own.filter("__new > 0").select("__l", "__v", F.col("__b").alias("__i"), F.explode("__all").alias("__j"), F.lit(0).alias("__side"), "__c", "__new")
+    there = own.filter("__want > 0").select("__l", "__v", F.explode("__all").alias("__i"), F.col("__b").alias("__j"), F.lit(1).alias("__side"), "__c", "__new")
+
+    def near(pdf):
+        pdf = pdf.sort_values("__side", kind="stable")
+        cut = int((pdf["__side"] == 0).sum())
+        found = [[] for _ in range(cut)]
+        if 0 < cut < len(pdf):
+            x = np.stack(pdf["__v"].to_numpy())
+            q, x, copies = x[:cut], x[cut:], pdf["__c"].to_numpy()[cut:]
+            order = np.lexsort(x.T[::-1])
+            x, copies = x[order], copies[order]
+            for i in range(cut):
+                d = ((x - q[i]) ** 2).sum(1)
+                d[(x == q[i]).all(1)] = np.inf  # itself
+                k = min(neighbours, len(x)) - 1
+                least = np.flatnonzero(d <= np.partition(d, k)[k])
+                least = least[np.argsort(d[least], kind="stable")][:neighbours]
+                found[i] = [{"d": float(d[j]), "v": x[j], "c": int(copies[j])} for j in least if d[j] < np.inf]
+        return pd.DataFrame({"__l": pdf["__l"].iloc[:cut], "__v": pdf["__v"].iloc[:cut], "__c": pdf["__c"].iloc[:cut], "__new": pdf["__new"].iloc[:cut], "__near": found})
+
+    kind = df.schema[vector].dataType.simpleString()
+    shape = f"__l {df.schema[label].dataType.simpleString()}, __v {kind}, __c long, __new long, __near array<struct<d:double,v:{kind},c:long>>"
+    found = asked.unionByName(there).groupBy("__l", "__i", "__j").applyInPandas(near, shape)
+    found = found.groupBy("__l", "__v", "__c", "__new").agg(F.slice(F.array_sort(F.flatten(F.collect_list("__near"))), 1, neighbours).alias("__near"))
+    # the places of the nearest: copies of the vector itself, then the others with theirs
+    places = lambda v, c: F.array_repeat(v, F.least(c, F.lit(neighbours)).cast("int"))
+    places = F.slice(F.concat(places(F.col("__v"), F.col("__c") - 1), F.flatten(F.transform("__near", lambda e: places(e["v"], e["c"])))), 1, neighbours)
+    made = found.withColumn("__near", places).select("__l", "__v", "__near", F.explode(F.sequence(F.lit(1).cast("long"), "__new")).alias("__k"))
+    made = made.withColumn("__to", F.coalesce(F.get("__near", F.floor(chance(F.lit("to"), "__k") * F.size("__near")).cast("int")), "__v")).withColumn("__gap", chance(F.lit("gap"), "__k"))
+    between = F.zip_with("__v", "__to", lambda a, b: a + F.col("__gap") * (b - a)).cast(kind)
+    return df.select(label, vector).unionByName(made.select(F.col("__l").alias(label), between.alias(vector)))
 
 
 def fit_trees(train: DataFrame, classes: int, label: str = "label", vector: str = "vector", weight: str | None = None, seed: int = SEED, **params):

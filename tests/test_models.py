@@ -88,6 +88,25 @@ def test_sampling(spark):
     assert params == {"maxDepth": 2, "maxIter": 2} and score > 0.5
 
 
+def test_smote_neighbours_of_the_whole_class(spark):
+    """New rows lie between a row and one of its five nearest of the class, however the class is dealt in blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    small = np.concatenate([rng.normal(size=(60, 4)), [[9.0] * 4] * 3])
+    rows = [(1, v.tolist()) for v in small] + [(0, v.tolist()) for v in rng.normal(size=(300, 4))] + [(2, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "label int, vector array<double>")
+    nearest = [[small[j] for j in sorted((j for j in range(len(small)) if j != i), key=lambda j: ((small[j] - small[i]) ** 2).sum())[:5]] for i in range(len(small))]
+    for block in (2048, 16):
+        made = training.smote(df, block=block).collect()
+        one = [np.array(r["vector"]) for r in made if r["label"] == 1]
+        assert sum(r["label"] == 0 for r in made) == 300 and len(one) == pytest.approx(300, abs=40)
+        assert [r["vector"] for r in made if r["label"] == 2] == [[1.0] * 4] * 300
+        on = lambda p, a, b: abs(np.linalg.norm(p - a) + np.linalg.norm(p - b) - np.linalg.norm(a - b)) < 1e-9
+        assert all(any(on(p, a, b) for a, near in zip(small, nearest) for b in near) for p in one)
+        assert len({tuple(p) for p in one}) > 250
+
+
 def test_probes(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, i % 3, [float(i % 3) + rng.random() / 4, rng.random()], float(i % 3)) for i in range(240)]
