@@ -266,7 +266,7 @@ _VERIFIED = "comp binary, key binary, root binary, links long, blocks int"
 
 
 def _verified(units: DataFrame) -> DataFrame:
-    """Exact links of each unit's pairs; units: unit, side, comp, key, copies, tokens, blocks."""
+    """Exact links of each unit's pairs; units: unit, square, side, comp, key, copies, tokens, blocks."""
 
     def run(batches):
         for group in _groups(batches, "unit"):
@@ -277,9 +277,9 @@ def _verified(units: DataFrame) -> DataFrame:
             tokens = [np.frombuffer(t, "<u4") for t in group.column("tokens").take(pa.array(order)).to_pylist()]
             copies = group.column("copies").to_numpy()[order]
             cut = int(np.searchsorted(sides, 1))
-            square = cut == len(keys)
-            if cut == 0:
-                continue  # no set fell in the first block
+            square = group.column("square")[0].as_py()
+            if not square and cut in (0, len(keys)):
+                continue  # no set fell in one of the two blocks
             linked = similar(tokens[:cut], None if square else tokens[cut:])
             if square:
                 np.fill_diagonal(linked, False)
@@ -316,7 +316,7 @@ def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[Data
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j")))
     units = found.select("comp", F.col("member").alias("key"), "copies", "tokens", "blocks", block.alias("own"), F.explode(pairs).alias("p"))
-    units = units.select(F.sha2(F.concat("comp", F.encode(F.concat_ws("/", "p.i", "p.j"), "utf-8")), 256).alias("unit"), (F.col("own") != F.col("p.i")).cast("int").alias("side"), "comp", "key", "copies", "tokens", "blocks")
+    units = units.select(F.sha2(F.concat("comp", F.encode(F.concat_ws("/", "p.i", "p.j"), "utf-8")), 256).alias("unit"), (F.col("p.i") == F.col("p.j")).alias("square"), (F.col("own") != F.col("p.i")).cast("int").alias("side"), "comp", "key", "copies", "tokens", "blocks")
     checked = cuts.cut(_verified(units))
     cuts.drop(sets, reps, comps, sizes)
 

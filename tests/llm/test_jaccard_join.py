@@ -73,6 +73,18 @@ def test_large_nodes_and_blocks(spark, monkeypatch):
         assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows)
 
 
+def test_pairs_in_one_of_two_blocks(spark, monkeypatch):
+    """A pair of near copies is counted once, wherever its two sets fall."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(24):
+        words = [str(rng.random()) for _ in range(60)]
+        rows += [(2 * i, " ".join(words), "c", "c"), (2 * i + 1, " ".join([*words, "more"]), "c", "c")]
+    monkeypatch.setattr(j, "TOKENS", 60)
+    got = j.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(i, i - i % 2, 1) for i in range(48)]
+
+
 def test_recall_at_threshold():
     """Sketches that agree in 80 % of their places share a node nearly always, and a further one if all nodes are large."""
     rng = np.random.default_rng(0)
