@@ -8,12 +8,14 @@ that copies never meet pairwise.
    a node one or two of the hash functions are chosen, the same for all sets there,
    and the set goes on to the child named by the shared token that its function
    finds. A pair at the threshold keeps at least one common node with a chance of
-   0.78 at any depth, so RUNS runs lose one in some 10 ** 5; more similar pairs less.
+   0.78 at any depth, so RUNS runs would lose one in some 10 ** 5 if they were independent;
+   they share the min-hashes, and the README has simulated figures. More similar pairs less.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
    on sketches, inside a task; the sets of larger ones go on, TIMES times each, over three
    more tokens without forks. What is still together in large numbers then shares five
-   tokens and is linked to its least member. This gives candidates; nothing is dropped
-   at any step.
+   tokens and is linked to its least member. This gives candidates; no set is dropped
+   at any step, but the sketch screen inside a node (AGREE) loses a pair at the threshold
+   with a chance of 1.3e-4, unless other pairs join it.
 3. Candidates' components are gathered with their sets, once a set, and every pair
    inside is decided exactly: 9 * common >= 4 * (sizes' sum). A component beyond BLOCK
    sets or TOKENS elements is cut into blocks, and each pair of blocks is a task of its
