@@ -434,7 +434,14 @@ query(
     "x0 x1 x2 x3",
 )(lambda s, d: clustering.step(heads(s, d), CENTROIDS).select("cluster", "members", *(F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(4))))
 query("kmeans_loss", f"{_K} SELECT avg(distance) AS loss FROM a", "loss")(lambda s, d: clustering.loss(heads(s, d), CENTROIDS))
-query("kmeans_fit")(lambda s, d: clustering.predict(clustering.fit(vectors(s, d), 5), vectors(s, d)).select("vec_id", F.col("prediction").alias("cluster")))
+
+
+@query("kmeans_fit")
+def kmeans_fit(spark, sf_dir):
+    points = vectors(spark, sf_dir)
+    model = clustering.fit(points, clustering.default_clusters(points.count()))
+    return clustering.predict(model, points).select("vec_id", F.col("prediction").alias("cluster"))
+
 
 # Training and data sets
 
@@ -462,8 +469,8 @@ def _binary(spark, sf_dir):
     return vectors(spark, sf_dir).withColumn("label", F.col("label") % 2)
 
 
-query("gbt_fit")(lambda s, d: training.predict(training.fit_trees(_binary(s, d), 2, maxIter=5, maxDepth=3), _binary(s, d)).select("vec_id", "label", "predicted"))
-query("forest_fit")(lambda s, d: training.predict(training.fit_trees(vectors(s, d), 3, maxIter=5, maxDepth=3), vectors(s, d)).select("vec_id", "label", "predicted"))
+query("gbt_fit")(lambda s, d: training.predict(training.fit_trees(_binary(s, d), 2), _binary(s, d)).select("vec_id", "label", "predicted"))
+query("forest_fit")(lambda s, d: training.predict(training.fit_trees(vectors(s, d), 3), vectors(s, d)).select("vec_id", "label", "predicted"))
 query("frame_metadata", f"""{BARS} SELECT symbol, min(time) AS start_time, max(time) AS end_time, count(*) AS "rows", '{datasets.canonical({"length": L, "stride": STRIDE})}' AS options FROM bars GROUP BY 1""")(
     lambda s, d: datasets.metadata(h1(s, d), length=L, stride=STRIDE)
 )

@@ -50,6 +50,23 @@ def test_whole_embeddings(spark):
     assert catalog.QUERIES["smote_sample"](spark, SMOKE).columns == ["label", *(f"x{i}" for i in range(width))]
 
 
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="no smoke tables")
+def test_whole_models(spark, monkeypatch):
+    """Models are fitted with the operators' own defaults."""
+    asked = []
+
+    def held(*args, **params):
+        asked.append((*args[1:], params))
+        raise StopIteration
+
+    monkeypatch.setattr(catalog.clustering, "fit", held)
+    monkeypatch.setattr(catalog.training, "fit_trees", held)
+    for name in ("kmeans_fit", "gbt_fit", "forest_fit"):
+        with pytest.raises(StopIteration):
+            catalog.QUERIES[name](spark, SMOKE)
+    assert asked == [(500, {}), (2, {}), (3, {})]
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="no smoke tables")
 def test_plans_prune(spark):
     """Scans read the columns they need, and votes shuffle once."""
