@@ -2,22 +2,27 @@
 
 A page is cut into blocks at block-level tags. Pass one labels each block by
 stop-word density, length and link density: good, bad, or undecided if it is too
-short to tell. Blocks in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments (by element, role, class or id) are bad from the start.
-Pass two lets an undecided block inherit from its nearest decided neighbours in
-the same scope: an <article> or <main>, or else the rest of the page. Where a
-scope has no decided block, one inside <article> or <main> counts as good.
+short, or has too few stop words, to tell. What the page itself names as a menu,
+header, footer, sidebar, notice, advert, form or reader comments (by element, role,
+class or id) is bad beforehand, since a notice's prose reads like any other.
+Pass two lets an undecided block inherit from its nearest decided neighbours: those
+in the innermost element round it that has any, one before and one after. If they
+differ, the closer one counts; if both are as close, it is good only inside an
+<article> or <main>. These elements have no other part in it, but that their blocks
+look for neighbours inside them, and that they are good where nothing there is decided.
 
 A null html is the empty text; pages without a good block give the empty text.
 Broken markup never fails: an unclosed tag at the end is dropped, unknown
-references stay as they are. Repeated rows stay; each page is read whole and
-alone, without a shuffle. Only page_id, url and html are read.
+references stay as they are. Repeated rows stay; each page is read whole, however
+long, and alone, without a shuffle; time goes with its length. Only page_id, url and
+html are read, so other columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -68,10 +73,19 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "link", "bad", "scope", "heading", "label")
+    __slots__ = ("text", "link", "bad", "scope", "heading", "inside", "label")
 
-    def __init__(self, text, link, bad, scope, heading):
-        self.text, self.link, self.bad, self.scope, self.heading, self.label = text, link, bad, scope, heading, None
+    def __init__(self, text, link, bad, scope, heading, inside):
+        self.text, self.link, self.bad, self.scope, self.heading, self.inside, self.label = text, link, bad, scope, heading, inside, None
+
+
+class Element:
+    """A block-level element: the one round it, and the blocks in it, from `start` to `end`."""
+
+    __slots__ = ("parent", "start", "end", "scope")
+
+    def __init__(self, parent, start, scope):
+        self.parent, self.start, self.end, self.scope = parent, start, None, scope
 
 
 def _left_out(name: str, rest: str) -> bool:
@@ -90,12 +104,13 @@ def _left_out(name: str, rest: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's blocks with text, in order, and its block-level elements, outer ones first."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, scope
+    elements = [Element(0, 0, 0)]  # the page
+    stack: list[tuple[str, bool, int, int]] = []  # name, left out, scope, element
     open_: Counter = Counter()  # names on the stack, so that a stray end tag needs no search
-    bad, scope, scopes, links, heading = False, 0, 0, 0, False
+    bad, scope, inside, scopes, links, heading = False, 0, 0, 0, 0, False
     texts: list[str] = []
     linked = 0
 
@@ -103,7 +118,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(texts)).split())
         if text:
-            found.append(Block(text, min(1.0, linked / len(text)), bad, scope, heading))
+            found.append(Block(text, min(1.0, linked / len(text)), bad, scope, heading, inside))
         texts.clear()
         linked = 0
 
@@ -114,6 +129,13 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(piece.strip())
 
+    def pop() -> str:
+        name, _, _, element = stack.pop()
+        open_[name] -= 1
+        if element != (stack[-1][3] if stack else 0):
+            elements[element].end = len(found)
+        return name
+
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -125,79 +147,86 @@ def blocks(page: str) -> list[Block]:
             flush()
         if m["end"]:
             while open_[name]:
-                closed = stack.pop()[0]
-                open_[closed] -= 1
+                closed = pop()
                 links -= closed == "a"
                 if closed == name:
                     break
         elif name not in VOID and not (m["rest"] or "").endswith("/"):
+            if name == "a":
+                links += 1
+            elif name in ("p", "li", "tr", "td", "option", "dt", "dd") and stack and stack[-1][0] == name:
+                pop()  # closed by its next sibling
+            outer, own, element = (stack[-1][1], *stack[-1][2:]) if stack else (False, 0, 0)
             if name in SCOPES:
                 scopes += 1
-                outer = any(open_[x] for x in SCOPES)
-                stack.append((name, _left_out(name, m["rest"]) or outer and bad, scopes))
-            else:
-                if name == "a":
-                    links += 1
-                elif name in ("p", "li", "tr", "td", "option", "dt", "dd") and stack and stack[-1][0] == name:
-                    stack.pop()  # closed by its next sibling
-                    open_[name] -= 1
-                stack.append((name, bool(stack) and stack[-1][1] or _left_out(name, m["rest"]), stack[-1][2] if stack else 0))
+                own, outer = scopes, outer and any(open_[x] for x in SCOPES)
+            if name in BLOCK:
+                elements.append(Element(element, len(found), own))
+                element = len(elements) - 1
+            stack.append((name, outer or _left_out(name, m["rest"]), own, element))
             open_[name] += 1
         elif name not in BLOCK:
             continue
-        state = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if state != (bad, scope):
-            flush()  # what is left out begins or ends, be it inside a block
-        bad, scope = state
-        heading = any(x[0] in HEADINGS for x in stack[-4:])
+        state = stack[-1][1:] if stack else (False, 0, 0)
+        if state != (bad, scope, inside):
+            flush()  # an element, or what is left out, begins or ends, be it by an inline tag
+        bad, scope, inside = state
+        heading = any(open_[x] for x in HEADINGS)
     add(page[at:])
     flush()
-    return found
-
-
-def classify(own: list[Block]) -> None:
-    """Sets label: True for good."""
-    for b in own:
-        words = _LETTERS.findall(b.text.lower())
-        stops = sum(map(STOPS.__contains__, words)) / len(words) if words else 0.0
-        if b.bad or b.link > LINKS:
-            b.label = False
-        elif len(b.text) < SHORT or b.heading:
-            b.label = None
-        elif stops >= STOP_HIGH or len(b.text) >= LONG and (stops >= STOP_LOW or b.scope):
-            b.label = True
-        elif not b.scope and stops < STOP_LOW:
-            b.label = False
-    decided: dict[int, list[int]] = {}
-    for i, b in enumerate(own):
-        if b.label is not None and not b.bad:
-            decided.setdefault(b.scope, []).append(i)
-    first_labels = [b.label for b in own]
-    places = dict.fromkeys(decided, 0)
+    for e in elements:
+        e.end = len(found) if e.end is None else e.end
+    return found, elements
+
+
+def first_pass(b: Block, stops: frozenset = STOPS) -> bool | None:
+    """A block's label by itself; None if it can't be told."""
+    if b.bad or b.link > LINKS:
+        return False
+    if b.heading or len(b.text) < SHORT:
+        return None
+    words = _LETTERS.findall(b.text.lower())
+    density = sum(map(stops.__contains__, words)) / len(words) if words else 0.0
+    if not b.scope and "©" in b.text and len(b.text) < LONG:
+        return False
+    return True if density >= (STOP_LOW if len(b.text) >= LONG else STOP_HIGH) else None
+
+
+def classify(own: list[Block], elements: list[Element], stops: frozenset = STOPS) -> None:
+    """Sets label of every block: True for good."""
+    first = [first_pass(b, stops) for b in own]
+    # what is left out for its name only says nothing of what stands beside it
+    decided = [i for i, b in enumerate(own) if first[i] is not None and (b.link > LINKS or not b.bad)]
+    round_ = []  # for each element the innermost one round it, or itself, that has decided blocks
+    for k, e in enumerate(elements):
+        has = bisect_left(decided, e.end) > bisect_left(decided, e.start)
+        # a scope doesn't look outside itself
+        round_.append(k if has or k == 0 or e.scope != elements[e.parent].scope else round_[e.parent])
     for i, b in enumerate(own):
+        b.label = first[i]
         if b.label is not None:
             continue
-        near = decided.get(b.scope, [])
-        k = places.get(b.scope, 0)
-        while k < len(near) and near[k] < i:
-            k += 1
-        places[b.scope] = k
-        before, after = (near[k - 1] if k else None), (near[k] if k < len(near) else None)
+        e = elements[round_[b.inside]]
+        k = bisect_left(decided, i)
+        before = decided[k - 1] if k and decided[k - 1] >= e.start else None
+        after = decided[k] if k < len(decided) and decided[k] < e.end else None
         if before is None and after is None:
             b.label = b.scope > 0
         elif before is None or after is None:
-            b.label = first_labels[after if before is None else before]
-        else:
-            sides = first_labels[before], first_labels[after]
-            closer = before if i - before < after - i else after
-            b.label = sides[0] if sides[0] == sides[1] else (True if i - before == after - i else first_labels[closer])
-        if b.heading and not b.label and after is not None and first_labels[after]:
+            b.label = first[after if before is None else before]
+        elif b.heading and first[after]:
             b.label = True  # a heading goes with the text below it
+        elif first[before] == first[after]:
+            b.label = first[before]
+        elif i - before == after - i:
+            b.label = b.scope > 0
+        else:
+            b.label = first[before if i - before < after - i else after]
 
 
 def main_text(page: str) -> str:
-    own = blocks(page)
-    classify(own)
+    own, elements = blocks(page)
+    classify(own, elements)
     return " ".join(b.text for b in own if b.label)
 
 
