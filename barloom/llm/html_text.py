@@ -133,6 +133,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         name, _, _, element = stack.pop()
         open_[name] -= 1
         if element != (stack[-1][3] if stack else 0):
+            flush()  # an inline end tag may close it too
             elements[element].end = len(found)
         return name
 
