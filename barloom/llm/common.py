@@ -52,9 +52,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset, as on one machine, a folder below the warehouse.
+    Only where that is unset and all runs in one process, a folder below the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_barloom_cuts"
 
 
@@ -62,11 +64,15 @@ class Cuts:
     """Writes tables to the shared folder and reads them back, to end a lineage.
 
     Results may read them for as long as the driver runs; its end removes what is left.
+    A caller that has written an operator's result can remove its tables with `end`.
     """
 
+    open: list[Cuts] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}", []
         self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        Cuts.open.append(self)
         atexit.register(self._remove, self.root)
 
     def cut(self, df: DataFrame, thin: bool = False) -> DataFrame:
@@ -82,12 +88,34 @@ class Cuts:
         for table in tables:
             self._remove(next(p for t, p in self.made if t is table))
 
+    @classmethod
+    def end(cls, since: int) -> None:
+        """Remove the tables of all Cuts made after the first `since`."""
+        while len(cls.open) > since:
+            one = cls.open.pop()
+            one._remove(one.root)
+            atexit.unregister(one._remove)
+
     def _remove(self, path: str) -> None:
         with contextlib.suppress(Py4JError, OSError):  # at the end the JVM may be gone
             path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.conf).delete(path, True)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """`row`, a struct of all columns of docs, and h1 and h2, 128 bits of the whole row.
+
+    The struct keeps docs' names away from those that operators use. Rows with equal h1 and h2
+    are equal in every column, so it doesn't matter which one of them stays or is repeated,
+    nor how files are split or in which order they are read.
+    """
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+    # hashes pass nulls over and know no maps
+    parts = [x for c, kind in zip(own, kinds) for x in (c.isNull(), F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c)]
+    return docs.select(F.struct(*own).alias("row"), F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
+
+
 class Memo(dict):
     """Values of a function by word, at most `most` at a time."""
 
@@ -130,10 +158,11 @@ class HashTable(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
-    """text and y of at most `most` labelled rows outside the held-out fold.
+    """text and y of at most `most` labelled documents outside the held-out fold.
 
-    Labels are chosen before any text is read, in the order of a hash of doc_id, so
-    reruns agree; `most` bounds what is broadcast here and what training collects.
+    Labels are chosen before any text is read, in the order of a hash of doc_id (of doc_id
+    itself where hashes tie), so reruns agree; `most` bounds what is broadcast here. Of rows
+    with one doc_id the text with the least hash counts, so `most` bounds what training gets.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -143,7 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return id_and_text(docs).join(F.broadcast(known), "doc_id").select("text", "y")
+    found = id_and_text(docs).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("text", "y")
 
 
 def fold(modulus: int):

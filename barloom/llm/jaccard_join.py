@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Cuts, Memo, map_batches
+from .common import WORD, Cuts, Memo, map_batches, whole_rows
 from .components import Forest, components
 
 N = 5
@@ -340,20 +340,21 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, less all but one of each class: the least doc_id, then the first row, stays.
+    """The rows of docs, with all columns, less all but one of each class.
 
-    Rows are told apart by their place in the scan, so docs should be a table that is read, not computed.
+    The least doc_id stays (null last), then the least hash of the whole row: what stays depends
+    on the rows alone, not on how many cores read them. Texts without words stay, all of them.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows, known = classes(placed, "__row")
-    grouped = rows.join(known, "key").select("__row", "doc_id", "root")
-    cuts = Cuts(docs.sparkSession)
-    grouped = cuts.cut(grouped)
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("f")).select("root", F.col("f.__row").alias("__first"))
-    first = cuts.cut(first)
-    drop = grouped.join(first, "root").filter("__row != __first").select("__row")
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    return placed.join(drop, "__row", "left_anti").select(*named)
+    cuts, placed = Cuts(docs.sparkSession), whole_rows(docs)
+    rows, known = classes(placed.select("row.doc_id", "row.text", "h1", "h2"), "h1", "h2", cuts=cuts)
+    members = cuts.cut(rows.join(known, "key").groupBy("root", "doc_id", "h1", "h2").agg(F.count("*").alias("times")))
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("f")).select("root", F.col("f.h1").alias("first1"), F.col("f.h2").alias("first2"))
+    stays = (F.col("h1") == F.col("first1")) & (F.col("h2") == F.col("first2"))
+    fate = cuts.cut(members.join(cuts.cut(first), "root").select("h1", "h2", stays.alias("stays"), "times"))
+    once = fate.filter("stays and times > 1").select("h1", "h2")  # equal rows, of which one stays
+    kept = placed.join(fate.filter("not stays or times > 1").select("h1", "h2"), ["h1", "h2"], "left_anti")
+    kept = kept.unionByName(placed.join(once, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
+    return kept.select("row.*")
 
 
 ORACLE = r"""

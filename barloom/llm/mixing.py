@@ -8,11 +8,15 @@ the other goes on. Blocks of at most some FAN documents are folded in one row ea
 their residuals form the blocks of the next level, and so on up to one residual a
 source: a reduction tree of log_FAN(documents) levels, in which even a source that
 holds a third of all rows is many equal blocks. Mass is integral (units of 2 ** -30
-words), so nothing drifts, and chance comes from hashes of doc_id: reruns agree.
+words), so nothing drifts. Rows that are alike get numbers, so that each is rounded for
+itself and even a repeated (or null) doc_id is dealt over all blocks; chance comes from
+hashes of doc_id, size and that number, so reruns agree, however files are split.
 
 Null texts have size 0 and are never taken; a null source is a source like others,
-last in order. Documents without words take 0. Repeated rows stay, each rounded for
-itself. An empty table gives an empty result. Only doc_id, source and text are read.
+last in order. Documents without words take 0. Repeated rows stay. A very long text is
+one document like others, and may leave its source as far from the target as it is long.
+Equal hashes only order rows arbitrarily. An empty table gives an empty result. Only
+doc_id, source and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, Cuts
+from .common import WORD_SQL, Cuts, whole_rows
 
 FAN = 64
 UNITS = 1 << 30
+PART = 1024  # rows made of one at once
 MOST = 3  # a document is taken this many times at most
 
 
@@ -65,15 +70,16 @@ def _chance(*parts) -> F.Column:
 
 
 def _fold(items: F.Column, level: int) -> F.Column:
-    """struct(rest, done) of an array of struct(order, row, doc_id, size, mass): all but one decided, as struct(row, doc_id, size, extra)."""
-    kind = "struct<order:bigint,row:bigint,doc_id:bigint,size:bigint,mass:bigint>"
-    start = F.struct(F.lit(None).cast(kind).alias("rest"), F.expr("cast(array() as array<struct<row:bigint,doc_id:bigint,size:bigint,extra:bigint>>)").alias("done"))
+    """struct(rest, done) of an array of struct(order, h1, h2, doc_id, size, mass): all but one decided, as struct(h1, h2, doc_id, size, extra)."""
+    named = "h1:bigint,h2:bigint,doc_id:bigint,size:bigint"
+    start = F.struct(F.lit(None).cast(f"struct<order:bigint,{named},mass:bigint>").alias("rest"), F.expr(f"cast(array() as array<struct<{named},extra:bigint>>)").alias("done"))
+    same = lambda x: [x[c].alias(c) for c in ("h1", "h2", "doc_id", "size")]
 
     def moved(x, mass):
-        return F.struct(x["order"].alias("order"), x["row"].alias("row"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), mass.alias("mass"))
+        return F.struct(x["order"].alias("order"), *same(x), mass.alias("mass"))
 
     def settled(x, extra):
-        return F.struct(x["row"].alias("row"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.lit(extra).cast("bigint").alias("extra"))
+        return F.struct(*same(x), F.lit(extra).cast("bigint").alias("extra"))
 
     def pair(state, b):
         a, done = state["rest"], state["done"]
@@ -92,43 +98,52 @@ def _fold(items: F.Column, level: int) -> F.Column:
     return F.aggregate(F.array_sort(items), start, pair)
 
 
-def mix(docs: DataFrame, row: str | None = None, fan: int = FAN) -> DataFrame:
+def _numbered(df: DataFrame, times: str, into: str) -> DataFrame:
+    """Each row as often as `times` says, numbered from 1; long runs in parts, so that no array is long."""
+    parts = df.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / PART))))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PART).cast("long"), F.col(times) - F.col("__part") * PART)))
+    return parts.select(*df.columns, "__part", number.alias("__number")).withColumn(into, F.col("__part") * PART + F.col("__number")).drop("__part", "__number")
+
+
+def mix(docs: DataFrame, keyed: bool = False, fan: int = FAN) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and source of every row of docs.
 
-    row: name of a long column that identifies rows; it is returned as __row.
+    keyed: docs has long columns h1 and h2 that tell its rows apart; they are returned too.
     """
-    cuts = Cuts(docs.sparkSession)
-    base = docs.select("doc_id", "source", "text", F.col(row).alias("__row")) if row else docs.select("doc_id", "source", "text", F.lit(0).cast("long").alias("__row"))
-    sized = cuts.cut(sizes(base, "__row"))
+    cuts, keys = Cuts(docs.sparkSession), ("h1", "h2")
+    base = docs.select("doc_id", "source", "text", *(F.col(k) if keyed else F.lit(0).cast("long").alias(k) for k in keys))
+    sized = cuts.cut(sizes(base, *keys))
     per = cuts.cut(targets(sized))  # one row a source
     largest = per.agg(F.max("n")).first()[0] or 0
 
-    same = sized["source"].eqNullSafe(per["source"])
-    known = sized.join(per, same).select("doc_id", "__row", "size", "source_size", "target", "whole", "part", "n", per["source"])
+    alike = sized.groupBy("doc_id", "source", "size", *keys).agg(F.count("*").alias("times"))
+    each = _numbered(alike, "times", "number")
+    known = each.join(per, each["source"].eqNullSafe(per["source"])).select("doc_id", *keys, "number", "size", "source_size", "target", "whole", "part", "n", per["source"])
     open_ = (F.col("size") > 0) & (F.col("part") > 0)
     keep = ("source", "source_size", "target", "whole")
-    even = known.filter(~open_).select("doc_id", "__row", "size", *keep, F.lit(0).cast("long").alias("extra"))
+    known = cuts.cut(known)  # read twice
+    even = known.filter(~open_).select("doc_id", *keys, "size", *keep, F.lit(0).cast("long").alias("extra"))
 
-    order = F.xxhash64(F.lit("order"), "doc_id", "size")
-    item = F.struct(order.alias("order"), F.col("__row").alias("row"), "doc_id", "size", (F.col("size") * F.col("part")).alias("mass"))
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "__row"), F.ceil(F.col("n") / fan))
+    order = F.xxhash64(F.lit("order"), "doc_id", "size", "number", *keys)
+    item = F.struct(order.alias("order"), *keys, "doc_id", "size", (F.col("size") * F.col("part")).alias("mass"))
+    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "size", "number", *keys), F.ceil(F.col("n") / fan))
     level, parts, blocks = 0, [even], -(-largest // fan)
     rows = known.filter(open_).select(*keep, block.alias("block"), item.alias("item"))
     while True:
         folded = rows.groupBy(*keep, "block").agg(_fold(F.collect_list("item"), level).alias("f"))
         folded = cuts.cut(folded.select(*keep, "block", "f.rest", "f.done"))
         done = folded.select(*keep, F.explode("done").alias("d"))
-        parts.append(done.select("d.doc_id", F.col("d.row").alias("__row"), "d.size", *keep, "d.extra"))
+        parts.append(done.select("d.doc_id", "d.h1", "d.h2", "d.size", *keep, "d.extra"))
         if blocks <= 1:
             break
         level, blocks = level + 1, -(-blocks // fan)
         rows = folded.select(*keep, F.floor(F.col("block") / fan).alias("block"), F.col("rest").alias("item"))
     last = _chance(F.lit("last"), "rest.order", "rest.doc_id") * F.col("rest.size") * UNITS < F.col("rest.mass")
-    parts.append(folded.select("rest.doc_id", F.col("rest.row").alias("__row"), "rest.size", *keep, F.when(last, 1).otherwise(0).cast("long").alias("extra")))
+    parts.append(folded.select("rest.doc_id", "rest.h1", "rest.h2", "rest.size", *keep, F.when(last, 1).otherwise(0).cast("long").alias("extra")))
     out = reduce(DataFrame.unionByName, parts)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
-    out = out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source", "__row")
-    return out if row else out.drop("__row")
+    out = out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "source", *keys)
+    return out if keyed else out.drop(*keys)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -138,9 +153,12 @@ def query(docs: DataFrame) -> DataFrame:
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns; documents without words stay once.
 
-    Rows are told apart by their place in the scan, so docs should be a table that is read, not computed.
+    Rows are told apart by what they hold, so the result doesn't depend on the cores that read them.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mix(placed, "__row").select("__row", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("__copies")).filter("__copies > 0")
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    return placed.join(taken, "__row").select(*named, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    cuts, placed = Cuts(docs.sparkSession), whole_rows(docs)
+    mixed = mix(placed.select("row.doc_id", "row.source", "row.text", "h1", "h2"), keyed=True)
+    taken = mixed.groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("copies"))
+    taken = cuts.cut(taken.filter("copies > 0"))
+    alone = placed.join(taken.filter("rows = 1").drop("rows"), ["h1", "h2"])
+    equal = placed.join(taken.filter("rows > 1").drop("rows"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    return _numbered(alone.unionByName(equal), "copies", "number").select("row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trigrams
+from .common import whole_rows
 
 
 @dataclass(frozen=True)
@@ -139,22 +140,23 @@ def query(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns; each span of the text, overlapping ones as one, reads MASK, and n_chars follows."""
-    named = [f"`{c}`" for c in docs.columns]
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = _gathered(spans(docs)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    both = docs.withColumn("__text_hash", h).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h")), "left")
+    found = _gathered(spans(docs))
+    own = whole_rows(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("h"))
+    both = _beside(own, found, "left")
+    text = F.col("row.text")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    part = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    part = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
 
     def put(state, x):
         new = F.concat(state["text"], part(state["at"], x["start"]), F.lit(MASK))
         return F.struct(F.when(x["start"] < state["at"], state["text"]).otherwise(new).alias("text"), F.greatest(state["at"], x["end"]).alias("at"))
 
-    masked = F.aggregate("__spans", start, put, lambda s: F.concat(s["text"], part(s["at"], F.length("text").cast("long"))))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked)
-    both = both.withColumn("__masked", text)
-    new = {"text": F.col("__masked"), "n_chars": F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__masked")).cast("long") if "n_chars" in docs.columns else None}
-    return both.select(*((new[c] if c in new else F.col(n)).alias(c) for c, n in zip(docs.columns, named)))
+    masked = F.aggregate("spans", start, put, lambda s: F.concat(s["text"], part(s["at"], F.length(text).cast("long"))))
+    both = both.select("row", F.when(F.col("spans").isNotNull(), masked).alias("masked"))
+    new = {"text": F.coalesce("masked", text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("masked").isNull(), F.col("row.n_chars")).otherwise(F.length("masked")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*(new.get(c, F.col("row.`" + c.replace("`", "``") + "`")).alias(c) for c in docs.columns))
 
 
 def _oracle() -> str:

@@ -8,10 +8,15 @@ term leaves few weights other than 0: only those are broadcast, a table that is
 bounded by the sample (SAMPLE labelled rows, a parameter) and not by the corpus.
 Scoring is one pass over whole texts without a shuffle.
 
+Features in fewer than LEAST sampled texts are not trained. Stems are an addition to the
+n-grams and skip-grams: they catch words of a family that training hasn't seen.
+
 Null and empty texts get the score of the intercept alone. Without any labelled
 row nothing is known to be toxic: every score is 0. Repeated rows stay and score
-alike. Other columns than doc_id and text are not read by `score`; `keep_clean`
-returns all columns.
+alike; a very long text is scored whole, its features are a set. Where hashes of the
+sample's doc_ids tie, the lesser doc_id comes first. Other columns than doc_id and text
+are not read by `score`; `keep_clean` returns all columns, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -162,7 +167,8 @@ def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFram
             keep = [one(t or "") < threshold for t in rows.column(place).to_pylist()]
             yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,3 +76,14 @@ def test_hash_table_forgets_and_grows():
     for size in (3, 6, 4, 25, 2, 40, 9):
         words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(size)]
         assert table.hashes(words).tolist() == [[len(w) for w in words], [ord(w[0]) for w in words]]
+
+
+def test_sample_is_bounded(spark):
+    """At most so many rows, however often a doc_id is repeated, and the same ones in any order."""
+    from barloom.llm.common import labelled_sample
+
+    rows = [(i % 40, f"text {i}", None, None) for i in range(8000)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2, None) for i in range(40)], LABELS)
+    got = labelled_sample(docs, labels, "toxic", 4, 2, 10).collect()
+    assert len(got) == 10
+    assert sorted(map(tuple, got)) == sorted(map(tuple, labelled_sample(docs.repartition(7), labels, "toxic", 4, 2, 10).collect()))

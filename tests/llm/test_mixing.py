@@ -80,6 +80,39 @@ def test_repeat(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     left = m.repeat(docs)
     assert left.columns == docs.columns
-    mixed = m.mix(docs.withColumn("r", m.F.monotonically_increasing_id()), "r")
+    mixed = m.mix(m.whole_rows(docs).select("row.doc_id", "row.source", "row.text", "h1", "h2"), keyed=True)
     wordless = mixed.filter("size = 0").count()
     assert left.count() == mixed.agg(m.F.sum("copies")).first()[0] + wordless
+
+
+def test_one_id_is_dealt_over_blocks(spark):
+    """Rows of one doc_id, or of none, are no group: each is rounded for itself, in blocks of equal size."""
+    rows = [(7 if i % 2 else None, "w " * (1 + i % 3 % 2), "s" if i % 3 else "t", "x", "y") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    largest = []
+    fold = m._fold
+
+    def seen(items, level):
+        largest.append(level)
+        return fold(m.F.when(m.F.size(items) > 4 * m.FAN, m.F.raise_error("a block is too large").cast("array<struct<order:bigint,h1:bigint,h2:bigint,doc_id:bigint,size:bigint,mass:bigint>>")).otherwise(items), level)
+
+    m._fold = seen
+    try:
+        got = m.mix(docs).groupBy("source", "doc_id", "size", "copies").count().collect()
+    finally:
+        m._fold = fold
+    assert len(largest) >= 2 and sum(r["count"] for r in got) == len(rows)
+    by = defaultdict(lambda: [0, 0])
+    for r in got:
+        by[r["source"], r["doc_id"], r["size"]][0] += r["count"]
+        by[r["source"], r["doc_id"], r["size"]][1] += r["count"] * r["copies"]
+    total = sum(1 + i % 3 % 2 for i in range(30_000))
+    size = {s: sum(1 + i % 3 % 2 for i in range(30_000) if (i % 3 > 0) == (s == "s")) for s in "st"}
+    for (s, *_), (n, copies) in by.items():
+        assert abs(copies / n - {"s": 1, "t": 2}[s] / 3 * total / size[s]) < 0.05
+
+
+def test_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(m, "PART", 4)
+    got = m._numbered(spark.createDataFrame([("a", 11), ("b", 1), ("c", 8)], "k string, n long"), "n", "i").collect()
+    assert sorted((r["k"], r["i"]) for r in got) == [("a", i) for i in range(1, 12)] + [("b", 1)] + [("c", i) for i in range(1, 9)]

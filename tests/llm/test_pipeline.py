@@ -90,9 +90,32 @@ def test_empty(spark, tables):
 
 
 def test_stage_names_and_columns(spark, tables):
-    """A further column, of a name that operators use inside, goes through."""
-    docs = spark.read.parquet(f"{tables}/documents.parquet").selectExpr("*", "'keep' AS size", "'keep' AS `key`", "'keep' AS h")
+    """Further columns, of names that operators use inside, go through."""
+    own = "size key h h1 h2 row spans masked copies rows times number root first1 stays __row __copy __copies __part __number __id __h __spans __masked __text_hash block item rest a.b".split()
+    docs = spark.read.parquet(f"{tables}/documents.parquet").selectExpr("*", *(f"'keep{i}' AS `{c}`" for i, c in enumerate(own)), "map('k', doc_id) AS m")
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, tables)
-        assert out.columns == docs.columns and {r[-1] for r in out.collect()} == {"keep"}, name
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:-1] for r in out.collect()} == {tuple(f"keep{i}" for i in range(len(own)))}, name
+        assert all(r["m"] == {"k": r["doc_id"]} for r in out.collect()), name
+
+
+def test_rows_stay_the_same_when_cores_change(spark, tables, tmp_path):
+    """Splits are packed by the cores that are alive: neither ids nor results may depend on it, between or inside calls."""
+    spark.read.parquet(f"{tables}/documents.parquet").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    docs = docs.unionByName(docs.filter("doc_id % 9 = 0").withColumn("lang", cp.bpe.F.lit("again"))).unionByName(docs.filter("doc_id % 11 = 0"))
+    key = "spark.sql.leafNodeDefaultParallelism"
+    before, got = spark.conf.get(key, None), {}
+    try:
+        for made, read in ((12, 12), (12, 3), (2, 7)):
+            for name, stage in cp.STAGES[1:4]:
+                spark.conf.set(key, made)
+                out = stage(spark, docs, tables)
+                spark.conf.set(key, read)
+                got.setdefault(name, []).append(sorted(map(str, out.collect())))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    for name, runs in got.items():
+        assert runs[0] and all(r == runs[0] for r in runs), name
     assert toxicity.THRESHOLD == 0.3
