@@ -52,10 +52,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents table; tables between stages go to the shared folder."""
+    """The last stage's rows over the documents table; tables between stages go to the shared folder.
+
+    Once a stage's rows are written, what it was made from is removed. An empty table gives an
+    empty result; very long texts go through every stage whole.
+    """
     cuts, docs = Cuts(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held, before = len(Cuts.open), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cuts.cut(docs)
+            Cuts.end(held)
+            if before is not None:
+                cuts.drop(before)
+            before = docs
     return docs
