@@ -7,15 +7,18 @@ that copies never meet pairwise.
 1. Each set gets SKETCH min-hashes. In every run a set walks down from the root: at
    a node one or two of the hash functions are chosen, the same for all sets there,
    and the set goes on to the child named by the shared token that its function
-   finds. A pair at the threshold keeps at least one common node with a chance of
-   0.78 at any depth, so RUNS runs would lose one in some 10 ** 5 if they were independent;
-   they share the min-hashes, and the README has simulated figures. More similar pairs less.
+   finds. More similar pairs share more nodes.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
-   on sketches, inside a task; the sets of larger ones go on, TIMES times each, over three
-   more tokens without forks. What is still together in large numbers then shares five
-   tokens and is linked to its least member. This gives candidates; no set is dropped
-   at any step, but the sketch screen inside a node (AGREE) loses a pair at the threshold
-   with a chance of 1.3e-4, unless other pairs join it.
+   on sketches, inside a task. In a larger node each set is compared with the node's
+   least member, and linked to it if their sketches agree; if all do, the node ends,
+   since all its sets are then compared exactly in step 3. Else all its sets walk on,
+   LEVELS further tokens at a time, until nodes are small, or at DEEPEST tokens; what
+   is still large and mixed there is compared all against all in blocks of SMALL sets,
+   a task for each pair of blocks. So no set is dropped and nothing is linked unseen.
+   Runs are repeated until the recall of pairs at the threshold is RECALL: `runs_for`
+   finds their number from simulated pairs, counting as lost those that share no node
+   at DEEPEST tokens (as if all others were large) and those whose sketches agree in
+   less than AGREE, which loses 1.3e-4 at the threshold.
 3. Candidates' components are gathered with their sets, once a set, and every pair
    inside is decided exactly: 9 * common >= 4 * (sizes' sum). A component beyond BLOCK
    sets or TOKENS elements is cut into blocks, and each pair of blocks is a task of its
@@ -24,12 +27,15 @@ that copies never meet pairwise.
 Results: one row per document with class_id, the least doc_id of its connected
 component, and n_links, the number of other documents that it is similar to.
 Null texts and texts without words have no set: they are alone. Repeated rows are
-copies of each other. Other columns than doc_id and text are not read. An empty table
-gives an empty result.
+copies of each other. A very long text is one set, compared COLUMNS tokens at a time. Of
+equal least doc_ids it doesn't matter which names the class. Other columns than doc_id
+and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,9 +46,12 @@ from .common import WORD, Cuts, Memo, map_batches, whole_rows
 from .components import Forest, components
 
 N = 5
-SKETCH, RUNS = 64, 8
-FORKED, STRAIGHT, TIMES = 2, 3, 2
-SMALL, BLOCK, TOKENS = 256, 2048, 2_000_000
+SKETCH = 64
+THRESHOLD, RECALL, TRIALS = 0.8, 0.999, 2000
+#: Tokens of the first nodes, and of a further walk; chances, in 15ths, that a node there has two functions.
+FIRST, LEVELS, DEEPEST = 2, 2, 8
+FORKS, LATER_FORKS = 10, 6
+SMALL, BLOCK, TOKENS = 512, 256, 2_000_000
 #: Candidates agree in this share of their sketches; four deviations below the threshold.
 AGREE = 0.6
 COLUMNS = 2048  # tokens of the exact comparison at once
@@ -88,25 +97,40 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(sketches: np.ndarray, member: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(sketches: np.ndarray, member: np.ndarray, path: np.ndarray, levels: int, forks: int = FORKS) -> tuple[np.ndarray, np.ndarray]:
     """Members (rows of sketches) and paths, so many levels down."""
     with np.errstate(over="ignore"):
         for _ in range(levels):
             a, b = _mix(path + _MIX[0]), _mix(path + _MIX[1])
             first, second = (a % _U(SKETCH)).astype(np.int64), (b % _U(SKETCH)).astype(np.int64)
-            both = (_mix(path + _MIX[2]) % _U(3) != 0) & (first != second)
+            both = (_mix(path + _MIX[2]) % _U(15) < _U(forks)) & (first != second)
             member, path, at = np.concatenate([member, member[both]]), np.concatenate([path, path[both]]), np.concatenate([first, second[both]])
             path = _mix(path * _MIX[3] + (at.astype(_U) << _U(32)) + sketches[member, at])
     return member, path
 
 
-def straight(sketches: np.ndarray, path: np.ndarray, levels: int = STRAIGHT) -> np.ndarray:
-    """The paths of all rows of sketches, so many levels down without forks."""
+def roots(run: int, n: int) -> np.ndarray:
+    """The paths of n sets at the root of a run."""
     with np.errstate(over="ignore"):
-        for _ in range(levels):
-            at = (_mix(path + _MIX[0]) % _U(SKETCH)).astype(np.int64)
-            path = _mix(path * _MIX[3] + (at.astype(_U) << _U(32)) + sketches[np.arange(len(path)), at])
-    return path
+        return np.repeat(_mix(np.array([run + 1], _U) * _MIX[0]), n)
+
+
+@lru_cache
+def runs_for(recall: float = RECALL, jaccard: float = THRESHOLD, trials: int = TRIALS) -> int:
+    """The least number of runs by which simulated pairs of that similarity are candidates in this share at least."""
+    rng = np.random.default_rng(20)
+    a = rng.integers(0, 1 << 32, (trials, SKETCH), dtype=np.uint32)
+    b = np.where(rng.random((trials, SKETCH)) < jaccard, a, a ^ np.uint32(1))
+    agree = (a == b).mean(axis=1) >= AGREE
+    found, sketches = np.zeros(trials, bool), np.concatenate([a, b])
+    for run in range(64):
+        member, path = walk(sketches, np.arange(2 * trials), roots(run, 2 * trials), FIRST)
+        member, path = walk(sketches, member, path, DEEPEST - FIRST, LATER_FORKS)
+        node = path ^ ((member % trials).astype(_U) * _MIX[1])  # a node of one pair
+        found[member[np.isin(node, node[member < trials]) & (member >= trials)] - trials] = True
+        if (found & agree).mean() >= recall:
+            return run + 1
+    raise ValueError(f"No number of runs finds {recall} of the pairs")
 
 
 def _sets(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -136,8 +160,8 @@ def _matrix(column) -> np.ndarray:
 
 
 def _walked(rows: DataFrame) -> DataFrame:
-    """(path, key) of the forked walk from the root, or on from `path` without forks; rows: key, sketch."""
-    rooted = "path" not in rows.columns
+    """(path, key) of the walk from the root, or LEVELS on from `path`; rows: key, sketch."""
+    rooted, runs = "path" not in rows.columns, runs_for()
 
     def run(batches):
         for b in batches:
@@ -145,17 +169,26 @@ def _walked(rows: DataFrame) -> DataFrame:
                 continue
             sketches, n = _matrix(b.column("sketch")), b.num_rows
             if rooted:
-                start = np.repeat(_mix(np.arange(1, RUNS + 1, dtype=_U) * _MIX[0]), n)
-                member, path = walk(sketches, np.tile(np.arange(n), RUNS), start, FORKED)
+                member, path = walk(sketches, np.tile(np.arange(n), runs), np.concatenate([roots(r, n) for r in range(runs)]), FIRST)
             else:
-                with np.errstate(over="ignore"):
-                    starts = [_mix(b.column("path").to_numpy().view(_U) + _U(t + 1) * _MIX[2]) for t in range(TIMES)]
-                member, path = np.tile(np.arange(n), TIMES), np.concatenate([straight(sketches, p) for p in starts])
+                member, path = walk(sketches, np.arange(n), b.column("path").to_numpy().view(_U), LEVELS, LATER_FORKS)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("key").take(pa.array(member))], names=["path", "key"])
 
     return rows.mapInArrow(run, "path long, key binary")
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """(path, key, v, agrees): whether the sketch agrees with that of the node's least member v; rows: path, key, sketch, v, least."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                agrees = (_matrix(b.column("sketch")) == _matrix(b.column("least"))).mean(axis=1) >= AGREE
+                yield pa.RecordBatch.from_arrays([b.column("path"), b.column("key"), b.column("v"), pa.array(agrees)], names=["path", "key", "v", "agrees"])
+
+    return rows.mapInArrow(run, "path long, key binary, v binary, agrees boolean")
+
+
 def _groups(batches, column: str):
     """Runs of equal values of a sorted column, as tables; they may span batches."""
     held = []
@@ -185,7 +218,7 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
         us, vs = [], []
         for group in _groups(batches, "path"):
             keys = group.column("key").to_pylist()
-            low = _matrix(group.column("sketch")).astype(np.uint8)
+            low = _matrix(group.column("sketch")).astype(np.uint8)  # 8 bits a place: as few as 1 in 256 agree by chance
             forest = Forest()
             for i in range(len(keys) - 1):
                 for j in np.flatnonzero((low[i + 1 :] == low[i]).sum(axis=1) >= AGREE * SKETCH):
@@ -205,18 +238,33 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
 def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
     """Edges (u, v) between keys whose components hold every similar pair; reps: key, sketch."""
     sketches = reps.select("key", "sketch")
-
-    def shared(paths, thin):
+    paths, deep, small, edges = _walked(sketches), FIRST, [], []
+    while True:
         counted = paths.groupBy("path").agg(F.count("*").alias("c"), F.min("key").alias("v")).filter("c > 1")
-        return cuts.cut(paths.join(counted, "path"), thin)
-
-    first = shared(_walked(sketches), thin=False)
-    large = first.filter(F.col("c") > SMALL).select("path", "key").join(sketches, "key")
-    onward = cuts.cut(_walked(large), thin=True)  # read twice
-    then = shared(onward, thin=True)
-    small = first.unionByName(then).filter(F.col("c") <= SMALL).select("path", "key")
-    linked = then.filter((F.col("c") > SMALL) & (F.col("key") != F.col("v"))).select(F.col("key").alias("u"), "v")
-    return _bucket_edges(small.join(sketches, "key")).unionByName(linked)
+        nodes = cuts.cut(paths.join(counted, "path"), thin=deep > FIRST)
+        small.append(nodes.filter(F.col("c") <= SMALL).select("path", "key"))
+        large = nodes.filter(F.col("c") > SMALL)
+        if large.isEmpty():
+            break
+        if deep >= DEEPEST:
+            small.append(_tiles(large))
+            break
+        least = large.filter("key = v").join(sketches, "key").select("path", "v", F.col("sketch").alias("least"))
+        compared = cuts.cut(_compared(large.select("path", "key").join(sketches, "key").join(least, "path")), thin=True)
+        edges.append(compared.filter("agrees and key != v").select(F.col("key").alias("u"), "v"))
+        mixed = compared.groupBy("path").agg(F.bool_and("agrees").alias("alike")).filter("not alike").select("path")
+        paths = cuts.cut(_walked(compared.select("path", "key").join(mixed, "path").join(sketches, "key")), thin=True)  # read twice
+        deep += LEVELS
+    return reduce(DataFrame.unionByName, [*edges, _bucket_edges(reduce(DataFrame.unionByName, small).join(sketches, "key"))])
+
+
+def _tiles(large: DataFrame) -> DataFrame:
+    """(path, key) of nodes too large for one task: each pair of blocks of about SMALL sets under a path of its own."""
+    blocks = F.ceil(F.col("c") / SMALL).cast("int")
+    own = large.select("path", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = own.select("path", "key", "own", others).filter("own != other")
+    return pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "key")
 
 
 def similar(own: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:

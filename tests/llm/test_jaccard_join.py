@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from barloom.llm import jaccard_join as j
 from barloom.llm.common import Cuts
@@ -85,20 +86,52 @@ def test_pairs_in_one_of_two_blocks(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in got) == [(i, i - i % 2, 1) for i in range(48)]
 
 
-def test_recall_at_threshold():
-    """Sketches that agree in 80 % of their places share a node nearly always, and a further one if all nodes are large."""
-    rng = np.random.default_rng(0)
-    lost = [0, 0]
-    for _ in range(500):
-        a = rng.integers(0, 1 << 32, j.SKETCH, dtype=np.uint32)
-        b = np.where(rng.random(j.SKETCH) < 0.8, a, a ^ np.uint32(1))
-        path = np.repeat(j._mix(np.arange(1, j.RUNS + 1, dtype=np.uint64) * j._MIX[0]), 2)
-        member, path = j.walk(np.stack([a, b]), np.tile([0, 1], j.RUNS), path, j.FORKED)
-        lost[0] += not np.intersect1d(path[member == 0], path[member == 1]).size
-        common = np.intersect1d(path[member == 0], path[member == 1])
-        ends = [j.straight(np.tile(x, (len(common) * j.TIMES, 1)), np.concatenate([j._mix(common + np.uint64(t + 1) * j._MIX[2]) for t in range(j.TIMES)])) for x in (a, b)]
-        lost[1] += not (ends[0] == ends[1]).any()
-    assert lost[0] <= 1 and lost[1] <= 2, lost
+def test_runs_reach_the_recall():
+    """Pairs other than those that `runs_for` has seen, at the threshold, if all nodes but the deepest are large."""
+    rng, n, runs = np.random.default_rng(0), 3000, j.runs_for()
+    assert 4 <= runs <= 16
+    a = rng.integers(0, 1 << 32, (n, j.SKETCH), dtype=np.uint32)
+    b = np.where(rng.random((n, j.SKETCH)) < 0.8, a, a ^ np.uint32(1))
+    found, screened = np.zeros(n, bool), (a == b).mean(axis=1) >= j.AGREE
+    for r in range(runs):
+        member, path = j.walk(np.concatenate([a, b]), np.arange(2 * n), j.roots(r, 2 * n), j.FIRST)
+        member, path = j.walk(np.concatenate([a, b]), member, path, j.DEEPEST - j.FIRST, j.LATER_FORKS)
+        left = set(zip(member[member < n].tolist(), path[member < n].tolist()))
+        found[[m - n for m, p in zip(member.tolist(), path.tolist()) if m >= n and (m - n, p) in left]] = True
+    assert (found & screened).mean() >= 0.998, (found & screened).mean()
+
+
+@pytest.mark.parametrize("small", [512, 1, 40])
+def test_recall_end_to_end(spark, monkeypatch, small):
+    """Pairs of texts at 0.8 to 0.85, with every cut, as nodes are, and as if none were small."""
+    rng = random.Random(small)
+    monkeypatch.setattr(j, "SMALL", small)
+    rows, pairs = [], 700
+    for i in range(pairs):
+        words = [f"{rng.random():.6f}" for _ in range(rng.randrange(60, 140))]
+        cut = (len(words) - 4) // 9  # so many shingles go
+        other = words[:-cut] + [f"{rng.random():.6f}" for _ in range(cut)]
+        x, y = shingles(" ".join(words)), shingles(" ".join(other))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.85
+        rows += [(2 * i, " ".join(words), "c", "c"), (2 * i + 1, " ".join(other), "c", "c")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in j.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in range(pairs))
+    assert found >= pairs - 3, found
+    assert all(got[k] == (k, 0) for i in range(pairs) for k in (2 * i, 2 * i + 1) if got[2 * i] != (2 * i, 1))
+
+
+def test_shared_passage_fuses_nothing(spark, monkeypatch):
+    """Texts of which much is one passage: their nodes are large and mixed, and only true pairs are linked."""
+    rng = random.Random(2)
+    word = lambda: f"{rng.random():.6f}"
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(150):
+        words = passage + [word() for _ in range(rng.choice([20, 40]))]
+        rows.append((2 * i, " ".join(words), "c", "c"))
+        rows.append((2 * i + 1, " ".join(words[:-1] + [word()]), "c", "c"))
+    monkeypatch.setattr(j, "SMALL", 16)
+    got = j.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == brute(rows)
 
 
 def test_components(spark):
