@@ -11,8 +11,9 @@ that copies never meet pairwise.
 2. Nodes with one set end. Nodes of at most SMALL sets are compared all against all
    on sketches, inside a task. In a larger node each set is compared with the node's
    least member, and linked to it if their sketches agree; if all do, the node ends,
-   since all its sets are then compared exactly in step 3. Else all its sets walk on,
-   LEVELS further tokens at a time, until nodes are small, or at DEEPEST tokens; what
+   since all its sets are then compared exactly in step 3. If at most SMALL do not, these
+   are compared with all of the node, in blocks. Else all its sets walk on, LEVELS
+   further tokens at a time, until nodes are small, or at DEEPEST tokens; what
    is still large and mixed there is compared all against all in blocks of SMALL sets,
    a task for each pair of blocks. So no set is dropped and nothing is linked unseen.
    Runs are repeated until the recall of pairs at the threshold is RECALL: `runs_for`
@@ -252,12 +253,21 @@ def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
         least = large.filter("key = v").join(sketches, "key").select("path", "v", F.col("sketch").alias("least"))
         compared = cuts.cut(_compared(large.select("path", "key").join(sketches, "key").join(least, "path")), thin=True)
         edges.append(compared.filter("agrees and key != v").select(F.col("key").alias("u"), "v"))
-        mixed = compared.groupBy("path").agg(F.bool_and("agrees").alias("alike")).filter("not alike").select("path")
+        others = compared.groupBy("path").agg(F.count("*").alias("c"), F.count_if(~F.col("agrees")).alias("others")).filter("others > 0")
+        small.append(_few_others(compared.join(others.filter(F.col("others") <= SMALL), "path")))
+        mixed = others.filter(F.col("others") > SMALL).select("path")
         paths = cuts.cut(_walked(compared.select("path", "key").join(mixed, "path").join(sketches, "key")), thin=True)  # read twice
         deep += LEVELS
     return reduce(DataFrame.unionByName, [*edges, _bucket_edges(reduce(DataFrame.unionByName, small).join(sketches, "key"))])
 
 
+def _few_others(rows: DataFrame) -> DataFrame:
+    """(path, key) of large nodes of which few sets don't agree with the least member: those meet all of the node, in blocks."""
+    blocks = F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("others")) / SMALL)).cast("int")
+    goes = F.when(F.col("agrees"), F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    return rows.select("path", "key", F.explode(goes).alias("block")).select(F.xxhash64("path", "block").alias("path"), "key")
+
+
 def _tiles(large: DataFrame) -> DataFrame:
     """(path, key) of nodes too large for one task: each pair of blocks of about SMALL sets under a path of its own."""
     blocks = F.ceil(F.col("c") / SMALL).cast("int")
