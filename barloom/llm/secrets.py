@@ -1,29 +1,35 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-Each rule's pattern yields a Boolean trigram query (`trigrams.query`). The index holds,
-for the trigrams that any rule asks for, the postings (trigram, document); a query
-intersects them by gathering, per document and conjunction, the bits of the trigrams
-that are there. Only candidates join their text again and are verified by the pattern.
-Rules without a mandatory trigram scan every text. Documents are told apart by doc_id
-and a hash of the text, so nothing depends on the order of rows.
+Each rule's pattern yields a Boolean trigram query (`trigrams.query`). Each text is cut
+into its trigrams once; the index holds its postings (trigram, document), of those that any
+rule asks for, and is written. A query intersects posting lists by gathering, per document
+and conjunction, the bits of the trigrams that are there; documents that fulfil one are
+candidates. Only texts that hold the rarest trigram of some conjunction, by the lengths of
+the lists, go to meet the candidates, so that hardly a text is shuffled, and candidates are
+verified by the pattern. Rules without a mandatory trigram scan every text. Documents are
+told apart by doc_id and a hash of the text, so nothing depends on the order of rows.
 
 Offsets come from the lengths of what a pattern splits off and of its matches, summed
 in order; they count code points, ends exclusive.
 
 Null texts are empty: no spans. Repeated rows stay and have the same spans. Texts are
-scanned whole; documents may hold any number of spans. An empty table gives an empty
-result. Only doc_id and text are read.
+scanned whole, however long, and so are secrets: no rule bounds their length from above;
+documents may hold any number of spans. Spans that begin together are in the order of RULES.
+An empty table gives an empty result. Only doc_id and text are read; `mask` returns all
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trigrams
-from .common import whole_rows
+from .common import Cuts, whole_rows
 
 
 @dataclass(frozen=True)
@@ -45,8 +51,8 @@ RULES = (
     Rule("stripe", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("url", r"://[^\s:/@]+:[^\s:/@]+@"),
 )
 BASE = 3
 MASK = "[secret]"
@@ -65,24 +71,36 @@ def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), how).drop("__id", "__h")
 
 
+def _plans(rules: tuple[Rule, ...]) -> list[tuple[int, list[str]]]:
+    """(rule, trigrams) of every conjunction of the rules' queries."""
+    return [(i, sorted(q)) for i, r in enumerate(rules) for q in trigrams.query(r.pattern) or []]
+
+
 def postings(keyed: DataFrame, grams: list[str]) -> DataFrame:
-    """(doc_id, h, gram): which of `grams` are in each lower-cased text; gram is a place in the list."""
-    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(grams)))
-    here = F.transform(F.array(F.lower("text")), lambda t: F.filter(known, lambda x: F.contains(t, x["g"])))[0]
-    return keyed.select(*KEY, F.explode(F.transform(here, lambda x: x["i"])).alias("gram"))
+    """(gram, doc_id, h): the distinct trigrams of each lower-cased text that are among `grams`, as places in the list."""
+    # looks ahead, so that trigrams overlap; a class for each place leaves most of the others out at once
+    any_of = "(?=(" + "".join("[" + "".join(sorted({re.escape(g[i]) for g in grams})) + "]" for i in range(3)) + "))"
+    own = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(any_of), F.lit(1)), F.array(*map(F.lit, grams)))
+    places = F.create_map(*(x for i, g in enumerate(grams) for x in (F.lit(g), F.lit(i))))
+    return keyed.select(*KEY, F.explode(own).alias("g")).select(F.element_at(places, F.col("g")).alias("gram"), *KEY)
 
 
-def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, h, rules): bits of the rules whose trigram query a text fulfils."""
-    queries = [(i, k, q) for i, r in enumerate(rules) for k, q in enumerate(trigrams.query(r.pattern) or [])]
-    grams = sorted({g for *_, q in queries for g in q})
+def candidates(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """(doc_id, h, rules): bits of the rules whose trigram query a document's postings fulfil."""
     place = {g: i for i, g in enumerate(grams)}
-    asked = [(place[g], i, k, 1 << bit, (1 << len(q)) - 1) for i, k, q in queries for bit, g in enumerate(sorted(q))]
-    plan = keyed.sparkSession.createDataFrame(asked, "gram int, rule int, part int, bit long, all long")  # as long as the rules are
-    met = postings(keyed, grams).join(F.broadcast(plan), "gram").groupBy(*KEY, "rule", "part", "all").agg(F.bit_or("bit").alias("bits"))
+    asked = [(place[g], i, k, 1 << bit, (1 << len(q)) - 1) for k, (i, q) in enumerate(_plans(rules)) for bit, g in enumerate(q)]
+    plan = index.sparkSession.createDataFrame(asked, "gram int, rule int, part int, bit long, all long")  # as long as the rules are
+    met = index.join(F.broadcast(plan), "gram").groupBy(*KEY, "rule", "part", "all").agg(F.bit_or("bit").alias("bits"))
     return met.filter(F.col("bits") == F.col("all")).groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+def rarest(index: DataFrame, grams: list[str], rules: tuple[Rule, ...]) -> list[str]:
+    """Of each conjunction the trigram with the shortest posting list; one row a trigram that rules ask for comes to the driver."""
+    lengths = {r["gram"]: r["n"] for r in index.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    place = {g: i for i, g in enumerate(grams)}
+    return sorted({min(q, key=lambda g: (lengths.get(place[g], 0), g)) for _, q in _plans(rules)})
+
+
 def _matches(texts: DataFrame, rules: list[tuple[int, Rule]], wanted=None) -> DataFrame:
     """(doc_id, h, kind, start, end) of the rules' spans in texts; wanted: column of rule bits."""
     each = []
@@ -112,8 +130,12 @@ def spans(docs: DataFrame) -> DataFrame:
     plans = {i: trigrams.query(r.pattern) for i, r in enumerate(RULES)}
     indexed = [(i, r) for i, r in enumerate(RULES) if plans[i]]
     scanned = [(i, r) for i, r in enumerate(RULES) if not plans[i]]
-    asked = candidates(keyed, RULES)
-    texts = _beside(keyed, asked, "inner")
+    cuts, grams = Cuts(docs.sparkSession), sorted({g for _, q in _plans(RULES) for g in q})
+    index = cuts.cut(postings(keyed, grams))
+    asked = cuts.cut(candidates(index, grams, RULES))
+    few = rarest(index, grams, RULES)
+    holds = F.transform(F.array(F.lower("text")), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(g)) for g in few)))  # lower case once
+    texts = _beside(keyed.filter(F.get(holds, F.lit(0))), asked, "inner")
     return _matches(texts, indexed, F.col("rules")).unionByName(_matches(keyed, scanned))
 
 
