@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long texts.
 
-Texts up to LONG characters are encoded by the tokenizers library as they are.
-A longer one is cut into leaves of LEAF characters, which are rows of their own
-and so are encoded in parallel; neighbours are then joined pairwise, as a tree.
-Round a join the text is encoded again in a growing window until it agrees with
-what both sides have:
+Texts of more than LEAF characters are cut into leaves of LEAF characters, which are
+encoded and then joined pairwise, as a tree. The leaves of a text of more than LONG
+characters are rows of their own, so that many tasks encode them in parallel; those of
+a shorter one are encoded in the task that has read it.
+Round a join the text is encoded again in a window that grows until it agrees with what
+both sides have. A blank or line break after a visible character always begins a
+pre-token, whatever stands on either side: both sides agree there, so most windows reach
+from the last such place on the left to the first one on the right, a word or two. Where
+there is none, as in long unsplit text, all of that side is the window's limit, and in it
 
 * between pre-tokens: the pattern looks at most one character past a match, so
   every split of a left side is final but the one that touches its end, and a
@@ -15,7 +19,8 @@ what both sides have:
 
 Strings of added tokens are cut out first, as the library does. Null texts count
 as empty: no ids, an empty decoded text. Repeated rows stay. Columns other than
-doc_id and text are not read. An empty table gives an empty result.
+doc_id and text are not read, so none can clash. An empty table gives an empty result.
+A vocabulary file with another way of splitting or a normalizer is used on whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .common import id_and_text, map_batches
 
-LEAF, LONG = 1 << 15, 1 << 16
+LEAF, LONG = 1 << 12, 1 << 14
 FIRST_WINDOW = 64
+#: Where a pre-token begins in any surroundings.
+_BEGINS = re.compile(r"(?<=[!-~\w])[ \n]")
 #: Below this code point no library's Unicode tables differ in letters, numbers or white space.
 SURE = 0x530
 #: The split pattern of byte-level BPE, and the letters it writes for bytes (fixed values).
@@ -65,17 +73,24 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.ranked = self._ranked(json.loads(source))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-
-    def _ranked(self, file: dict):
-        """The same vocabulary as ranks for the faster library; None if the file isn't plain byte-level BPE."""
-        model, split = file["model"], file["pre_tokenizer"] or {}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
-        ids = [model["vocab"].get(a + b) for a, b in merges] if model["type"] == "BPE" else [None]
-        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex") and file["normalizer"] is None
+        file = json.loads(source)
+        split = file["pre_tokenizer"] or {}
         flags = any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"])
-        if not plain or flags or None in ids or ids != sorted(ids) or model.get("dropout") or model.get("ignore_merges"):
+        #: Whether leaves can be joined: byte-level splits, nothing rewritten.
+        self.joins = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and bool(split.get("use_regex")) and file["normalizer"] is None and not flags and file["model"]["type"] == "BPE"
+        self.ranked, self.sizes = None, None
+        if self.joins:
+            vocab = file["model"]["vocab"]
+            self.sizes = np.zeros(1 + max(vocab.values()), np.int64)  # bytes of each piece
+            self.sizes[list(vocab.values())] = list(map(len, vocab))
+            self.ranked = self._ranked(file["model"])
+
+    def _ranked(self, model: dict):
+        """The same vocabulary as ranks for the faster library; None if merges aren't in the order of ids."""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        ids = [model["vocab"].get(a + b) for a, b in merges]
+        if None in ids or ids != sorted(ids) or model.get("dropout") or model.get("ignore_merges"):
             return None
         import tiktoken
 
@@ -83,7 +98,7 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.added)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts: by ranks where both libraries' character classes are sure to agree."""
+        """Ids of texts, each at once: by ranks where both libraries' character classes are sure to agree."""
         out: list = [None] * len(texts)
         for i, text in enumerate(texts):
             if self.ranked and (text.isascii() or np.frombuffer(text.encode("utf-32-le"), "<u4").max() < SURE):
@@ -93,6 +108,23 @@ class Encoder:
             out[i] = np.array(found.ids, "<u4")
         return out
 
+    def encode(self, texts: list[str], leaf: int = LEAF) -> list[np.ndarray]:
+        """Ids of whole texts; long ones as trees of leaves."""
+        plans, flat = [], []
+        for text in texts:
+            plan = list(_leaves(text, self, leaf)) if self.joins and len(text) > leaf else [(0, 0, text)]
+            plans.append([(part, len(flat) + i) for i, (part, *_) in enumerate(plan)])
+            flat += [own for *_, own in plan]
+        ids = self.batch(flat)
+        return [ids[plan[0][1]] if len(plan) == 1 else self.whole([(part, flat[i], ids[i]) for part, i in plan]) for plan in plans]
+
+    def whole(self, leaves: list[tuple[int, str, np.ndarray]]) -> np.ndarray:
+        """Ids of a text from (part, text, ids) of its leaves, in order."""
+        parts: dict[int, list[Node]] = {}
+        for part, text, ids in leaves:
+            parts.setdefault(part, []).append(Node(self, text, ids))
+        return np.concatenate([self.tree(nodes).ids for nodes in parts.values()])
+
     def parts(self, text: str) -> list[str]:
         """Text between added tokens at even places, added tokens at odd ones."""
         return self.cut.split(text) if self.cut else [text]
@@ -105,9 +137,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def leaf(self, text: str) -> Node:
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        counts = np.bincount(np.array(found.word_ids, dtype=np.int64)) if found.ids else np.zeros(0, np.int64)
-        return Node(text, found.ids, self.splits(text), np.cumsum(counts).tolist())
+        return Node(self, text, self.batch([text])[0])
 
     def pieces(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of one pre-token, from those of its two halves."""
@@ -125,6 +155,37 @@ class Encoder:
     def join(self, a: Node, b: Node) -> Node:
         if not a.text or not b.text:
             return a if a.text else b
+        start, stop = self._last(a.text), self._first(b.text)
+        before = len(a.ids) - self._pieces_of(a.ids[::-1], a.text[start:])
+        after = self._pieces_of(b.ids, b.text[:stop])
+        if len(a.text) - start + stop <= 4 * FIRST_WINDOW:
+            middle = self.batch([a.text[start:] + b.text[:stop]])[0]
+        else:
+            middle = self.merge(Node(self, a.text[start:], a.ids[before:]), Node(self, b.text[:stop], b.ids[:after]))
+        return Node(self, a.text + b.text, np.concatenate([a.ids[:before], middle, b.ids[after:]]))
+
+    def _last(self, text: str) -> int:
+        """The last place in text where a pre-token begins for sure; 0 if there is none."""
+        size = FIRST_WINDOW
+        while True:
+            low = max(0, len(text) - size)
+            found = [m.start() for m in _BEGINS.finditer(text, low)]
+            if found or not low:
+                return found[-1] if found else 0
+            size *= 4
+
+    def _first(self, text: str) -> int:
+        """The first such place; the end if there is none."""
+        found = _BEGINS.search(text)
+        return found.start() if found else len(text)
+
+    def _pieces_of(self, ids: np.ndarray, text: str) -> int:
+        """How many of the first ids make up text."""
+        size = len(text.encode("utf-8", "surrogatepass"))
+        return int(np.searchsorted(np.cumsum(self.sizes[ids[:size]]), size)) + 1 if size else 0
+
+    def merge(self, a: Node, b: Node) -> np.ndarray:
+        """Ids of both texts as one."""
         text, seam = a.text + b.text, len(a.text)
         kept = len(a.ends) - 1  # pre-tokens of a that are final
         start = a.ends[kept - 1] if kept else 0
@@ -140,20 +201,13 @@ class Encoder:
             grown *= 4
         inside = [e for e in ends if e <= shared]
         skip = b.at(shared - seam) if shared > seam else 0
-        first = kept and a.id_ends[kept - 1]
+        first = a.id_ends[kept - 1] if kept else 0
         if len(inside) == 1 and shared > seam and skip == 1:  # one pre-token over the seam: a's last and b's first
-            ids = self.pieces(a.ids[first:], b.ids[: b.id_ends[0]])
-            counts = [len(ids)]
+            ids = self.pieces(a.ids[first:].tolist(), b.ids[: b.id_ends[0]].tolist())
         else:  # the window's own splits: alone, the last could come out otherwise
-            each = [[t.id for t in self.tokenizer.model.tokenize(piece)] for piece, _ in window[: len(inside)]]
-            ids, counts = [i for x in each for i in x], np.cumsum([len(x) for x in each]).tolist()
-        done, dropped = first + len(ids), b.id_ends[skip - 1] if skip else 0
-        return Node(
-            text,
-            a.ids[:first] + ids + b.ids[dropped:],
-            a.ends[:kept] + inside + [seam + e for e in b.ends[skip:]],
-            a.id_ends[:kept] + [first + c for c in counts] + [done - dropped + c for c in b.id_ends[skip:]],
-        )
+            ids = [t.id for piece, _ in window[: len(inside)] for t in self.tokenizer.model.tokenize(piece)]
+        dropped = b.id_ends[skip - 1] if skip else 0
+        return np.concatenate([a.ids[:first], np.array(ids, "<u4"), b.ids[dropped:]])
 
     def tree(self, nodes: list[Node]) -> Node:
         while len(nodes) > 1:
@@ -165,12 +219,20 @@ class Encoder:
 
 
 class Node:
-    """A text with its ids; for each pre-token, where it ends in both."""
+    """A text with its ids; `ends` and `id_ends` are the places in both where its pre-tokens end."""
 
-    __slots__ = ("text", "ids", "ends", "id_ends")
+    def __init__(self, encoder: Encoder, text: str, ids: np.ndarray):
+        self.encoder, self.text, self.ids = encoder, text, np.asarray(ids, "<u4")
 
-    def __init__(self, text: str, ids: list[int], ends: list[int], id_ends: list[int]):
-        self.text, self.ids, self.ends, self.id_ends = text, list(ids), list(ends), list(id_ends)
+    @cached_property
+    def ends(self) -> list[int]:
+        return self.encoder.splits(self.text)
+
+    @cached_property
+    def id_ends(self) -> list[int]:
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        bytes_ = np.cumsum(1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+        return (np.searchsorted(np.cumsum(self.encoder.sizes[self.ids]), bytes_[np.array(self.ends, np.int64) - 1]) + 1).tolist()
 
     def at(self, place: int) -> int | None:
         """How many pre-tokens end up to `place`, if one ends there."""
@@ -220,7 +282,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False, lea
         encoder = Encoder(source.value)
 
         def batch(rows):
-            found = encoder.batch(rows.column("text").to_pylist())
+            found = encoder.encode(rows.column("text").to_pylist(), leaf)
             return rows_of(rows.column("doc_id"), found, encoder.tokenizer.decode_batch([x.tolist() for x in found], skip_special_tokens=False))
 
         return batch
@@ -237,31 +299,24 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False, lea
 
     def leaves():
         encoder = Encoder(source.value)
-
-        def batch(rows):
-            out = []
-            for part, text in zip(rows.column("part").to_pylist(), rows.column("text").to_pylist()):
-                out.append(Node("", [encoder.added[text]], [], []) if part % 2 else encoder.leaf(text))
-            columns = {c: rows.column(c) for c in ("row", "doc_id", "part", "leaf", "text")}
-            return columns | {c: [packed(getattr(n, c)) for n in out] for c in ("ids", "ends", "id_ends")}
-
-        return batch
+        return lambda rows: {c: rows.column(c) for c in ("row", "doc_id", "part", "leaf", "text")} | {"ids": [packed(x) for x in encoder.batch(rows.column("text").to_pylist())]}
 
     def joined(key, table):
         encoder = _loaded(source)
         table = table.sort_by([("part", "ascending"), ("leaf", "ascending")])
-        parts, unpacked = {}, lambda x: np.frombuffer(x, "<u4").tolist()
-        for r in table.to_pylist():
-            parts.setdefault(r["part"], []).append(Node(r["text"], *(unpacked(r[c]) for c in ("ids", "ends", "id_ends"))))
-        ids = [i for part, nodes in parts.items() for i in (nodes[0].ids if part % 2 else encoder.tree(nodes).ids)]
-        columns = rows_of([table.column("doc_id")[0].as_py()], [ids], [encoder.decode(ids)])
+        ids = encoder.whole([(r["part"], r["text"], np.frombuffer(r["ids"], "<u4")) for r in table.select(["part", "text", "ids"]).to_pylist()])
+        columns = rows_of([table.column("doc_id")[0].as_py()], [ids], [encoder.decode(ids.tolist())])
         return pa.table({f.name: pa.array(columns[f.name], f.type) for f in result_schema})
 
     size = F.length("text")
+    if not Encoder(source.value).joins:
+        return map_batches(texts, whole, schema)
     short = map_batches(texts.filter(size <= long), whole, schema)
     rows = texts.filter(size > long).withColumn("row", F.monotonically_increasing_id())
-    cuts = rows.mapInArrow(cut, "row long, doc_id long, part int, leaf int, text string").repartition(F.col("row"), F.col("part"), F.col("leaf"))
-    encoded = map_batches(cuts, leaves, "row long, doc_id long, part int, leaf int, text string, ids binary, ends binary, id_ends binary", barrier_rows=16)
+    # a stated number of partitions: leaves are few bytes and much work, which adaptive execution would put in one task
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.mapInArrow(cut, "row long, doc_id long, part int, leaf int, text string").repartition(spread, "row", "part", "leaf")
+    encoded = map_batches(cuts, leaves, "row long, doc_id long, part int, leaf int, text string, ids binary", barrier_rows=16)
     return short.unionByName(encoded.groupBy("row").applyInArrow(joined, schema))
 
 

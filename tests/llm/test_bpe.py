@@ -32,10 +32,28 @@ def test_tree_equals_whole(encoder):
         for leaf in (7, 64, 129):
             nodes = [encoder.leaf(text[i : i + leaf]) for i in range(0, len(text), leaf)]
             node = encoder.tree(nodes)
-            assert node.ids == encoder.plain(text), (text[:80], leaf)
+            assert node.ids.tolist() == encoder.plain(text), (text[:80], leaf)
             assert node.ends == encoder.splits(text) and node.id_ends[-1] == len(node.ids)
 
 
+def test_trees_of_whole_texts(encoder):
+    """Every text of more than a leaf, with and without places to part it, between ids of added tokens."""
+    texts = [*cases(), "x" * 3000 + " y", "日本語" * 300, "é" * 999, "a1" * 700, "end<|endoftext|>" * 40, "w " * 2000, " \n" * 800, "\u3000" * 300 + "x" * 50, "a\x85b\xa0c " * 90]
+    for leaf in (16, 250):
+        assert [x.tolist() for x in encoder.encode(texts, leaf)] == [encoder.plain(t) for t in texts]
+    assert encoder.encode([]) == []
+
+
+def test_places_where_pre_tokens_begin(encoder):
+    """At such a place both sides split as they would alone."""
+    rng = random.Random(1)
+    for text in cases():
+        for m in bpe._BEGINS.finditer(text):
+            if rng.random() < 0.2:
+                at = m.start()
+                assert encoder.splits(text) == encoder.splits(text[:at]) + [at + e for e in encoder.splits(text[at:])]
+
+
 def test_ranks_equal_library(encoder):
     assert encoder.ranked is not None
     texts = [*cases(), "a<|endoftext|>b", "\x85\xa0 \x1c\x0b", "".join(map(chr, range(0x530)))]
