@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 BUY, SELL, HOLD = 0, 1, 2
 
 
-def vote(predictions: DataFrame, rule: str, row: str = "row_id", components: int | None = None) -> DataFrame:
+def vote(predictions: DataFrame, rule: str, row: str = "row_id", components: int | None = None, rows_of: DataFrame | None = None) -> DataFrame:
     """row and prediction; rule: unanimous, majority or priority_tiebreak. predictions: row, prediction, priority.
 
+    A row whose votes name no class holds, and so does each row of `rows_of` that has no votes at all.
+
     Majority is the largest count; a tie holds, or with priority_tiebreak goes to the tied class of
     the least priority number. One partially aggregated shuffle: each row keeps a count and a least
     priority for each class. With `components`, a row that has another number of votes is an error.
@@ -33,7 +35,10 @@ def vote(predictions: DataFrame, rule: str, row: str = "row_id", components: int
         out = F.when(F.size(tied) == 1, F.get(tied, F.lit(0))["prediction"]).otherwise(HOLD)
     else:
         out = F.array_min(F.transform(tied, lambda x: F.struct(x["p"], x["prediction"])))["prediction"]
-    return rows.select(row, out.cast("int").alias("prediction"))
+    voted = rows.select(row, F.coalesce(out, F.lit(HOLD)).cast("int").alias("prediction"))
+    if rows_of is None:
+        return voted
+    return rows_of.select(row).distinct().join(voted, row, "left").select(row, F.coalesce("prediction", F.lit(HOLD)).cast("int").alias("prediction"))
 
 
 def filter_override(predictions: DataFrame, filters: DataFrame, filter_class: int, row: str = "row_id") -> DataFrame:

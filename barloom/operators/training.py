@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,11 +58,14 @@ def place(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     of the ranges before are added: no task sees all rows. The bounds are constants of the
     plan, so that counts and ranks agree wherever they are computed.
     """
+    from pyspark.ml.feature import Bucketizer
+
     first = F.col(order[0]).cast("double")
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or [0.0]
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < first))
-    own = df.withColumn("__part", part)
+    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    own = df.withColumn("__first", F.coalesce(first, F.lit(-float("inf"))))  # nulls come first in order, too
+    own = Bucketizer(splits=splits, inputCol="__first", outputCol="__part").transform(own).drop("__first")  # by binary search
     sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__first"))  # a row a range
@@ -77,14 +81,33 @@ def sampling_name(name: str) -> str:
     raise ValueError(f"Unknown sampling: {name}; known: {', '.join(n[0] for n in SAMPLINGS)}")
 
 
+#: Environment names of the sampling, the first that is set counts (fixed values).
+SAMPLING_NAMES = ("TRAIN_DATA_SAMPLING", "SAMPLING_STRATEGY", "DATA_SAMPLING_STRATEGY")
+
+
+def sampling_from_env(env=os.environ) -> str:
+    return sampling_name(next(filter(None, map(env.get, SAMPLING_NAMES)), "weights"))
+
+
 CELL = 4096  # rows that one task ranks
 
 
+def resampled(df: DataFrame, sampling: str | None = None, label: str = "label", keys: tuple[str, ...] = (), vector: str = "vector") -> DataFrame:
+    """sampled() rows with `weight`: all rows by the classes' sizes after sampling, 1 without any sampling.
+
+    sampling: None for what the environment names, and weights if it names none.
+    """
+    kind = sampling_from_env() if sampling is None else sampling_name(sampling)
+    own = df if kind in ("none", "weights") else sampled(df, kind, label, keys, vector=vector)
+    return own.withColumn("weight", F.lit(1.0)) if kind == "none" else sampled(own, "weights", label)
+
+
 def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str, ...] = (), seed: int = SEED, vector: str = "vector") -> DataFrame:
     """Rows in other shares of the classes. over: repeat up to the largest class; under: pick down to the least.
 
-    Sizes come out exactly. Who is repeated or picked goes by a hash of `keys` (all columns, if
-    none are named), so reruns agree; ranks by it are counted in cells of about CELL rows and
+    Sizes come out exactly. Who is repeated or picked goes by the order of the MD5 of the seed and
+    the JSON of `keys` (all columns, if none are named), so reruns agree, and so does any other
+    engine; ranks by it are counted in cells of about CELL rows, ranges of the MD5, and
     added up, so that no task sees a whole class. weights adds `weight`; the smote forms return
     label and vector only; after a sampling up, one down changes nothing more.
     """
@@ -102,8 +125,9 @@ def sampled(df: DataFrame, sampling: str, label: str = "label", keys: tuple[str,
         return rows.select(*names, (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight"))
     want = F.col("__least") if kind == "under" else F.col("__most")
     more = want % F.col("__n")  # rows that come once more than the others
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *(keys or names)))
-    rows = rows.withColumn("__cell", F.pmod("__h", F.ceil(F.col("__n") / CELL)))
+    rows = rows.withColumn("__h", F.md5(F.concat(F.lit(str(seed)), F.to_json(F.struct(*(F.col(c) for c in keys or names)))).cast("binary")))
+    share = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") / float(1 << 32)
+    rows = rows.withColumn("__cell", F.floor(share * F.ceil(F.col("__n") / CELL)))
     sizes = rows.groupBy(label, "__cell").agg(F.count("*").alias("__size"))
     before = F.sum("__size").over(Window.partitionBy(label).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col(label).alias("__label"), F.col("__cell").alias("__c"), F.coalesce(before, F.lit(0)).alias("__first"))

@@ -16,7 +16,7 @@ from barloom.functions.numeric import floor_divide_sql
 from barloom.operators import clustering, ensemble, evaluation, indicators, resample, statistics, training, windows
 from barloom.operators.frames import numbered
 from barloom.sources import bars as bar_source
-from barloom.sources import datasets
+from barloom.sources import datasets, properties
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,6 +157,29 @@ def dedupe(spark, sf_dir):
     return windows.dedupe_last(bars.withColumn("ingest", F.lit(1)).unionByName(again.withColumn("ingest", F.lit(2)))).drop("ingest")
 
 
+query(
+    "symbol_properties",
+    f"""{BARS} SELECT symbol, 'events' AS source, 'made' AS "group", 100000::INT AS contract_size, 1 / 10 ** (length(symbol) % 3) AS point_size, (length(symbol) % 3)::INT AS digits, min(time)::VARCHAR AS data_start, CASE WHEN symbol > 'p' THEN max(time)::VARCHAR END AS data_end FROM bars GROUP BY symbol""",
+    "point_size",
+)(lambda s, d: properties.parsed(property_texts(s, d)))
+
+
+def property_texts(spark, sf_dir):
+    """A JSON text for each symbol, as its file would hold it."""
+    digits = (F.length("symbol") % 3).alias("digits")
+    each = h1(spark, sf_dir).groupBy("symbol").agg(F.min("time").cast("string").alias("data_start"), F.max("time").cast("string").alias("last"))
+    last = F.when(F.col("symbol") > "p", F.col("last")).alias("data_end")
+    return each.select(F.to_json(F.struct("symbol", F.lit("events").alias("source"), F.lit("made").alias("group"), F.lit(100000).alias("contract_size"), (1 / F.pow(F.lit(10.0), digits)).alias("point_size"), digits, "data_start", last)).alias("value"))
+
+
+query(
+    "targets_own_point",
+    f"{TARGETS}, o AS (SELECT *, 1 / 10.0::DOUBLE ** (length(symbol) % 3) AS p FROM raw) SELECT symbol, rn, end_time, " + ", ".join(f"{floor_divide_sql(f'target_{n}', 'p')} AS target_{n}" for n in ("highest", "lowest", "value")) + ", entry FROM o",
+    "target_highest target_lowest target_value entry",
+)(
+    lambda s, d: windows.targets(properties.with_point(h1(s, d), properties.parsed(property_texts(s, d))), L, STRIDE, windows.TimeTarget(T, "points"), F.col("point_size"))
+)
+
 # Indicators
 
 
@@ -216,11 +239,13 @@ query(
 
 # Windows and targets
 
+_ALL = ("time", *bar_source.FEATURES)
 query(
     "seq_windows",
-    f"{ANCHORED} SELECT symbol, rn, time AS end_time, " + ", ".join(f"{c}[{i + 1}] AS {n}__{i}" for n, c in (("time", "ts"), ("open", "o"), ("close", "v")) for i in (0, 1, L - 1)) + " FROM a",
-    " ".join(f"{n}__{i}" for n in ("open", "close") for i in (0, 1, L - 1)),
-)(lambda s, d: windows.flatten(h1_windows(s, d), ("time", "open", "close"), L).select("symbol", "rn", "end_time", *(f"{n}__{i}" for n in ("time", "open", "close") for i in (0, 1, L - 1))))
+    f"{ROWS}, a AS (SELECT symbol, rn, time AS end_time FROM r WHERE rn >= {L - 1} AND (rn - {L - 1}) % {STRIDE} = 0)"
+    f" SELECT a.symbol, a.rn, end_time, (r.rn - a.rn + {L - 1})::INT AS i, {', '.join('r.' + c for c in _ALL)} FROM a JOIN r ON r.symbol = a.symbol AND r.rn BETWEEN a.rn - {L - 1} AND a.rn",
+    " ".join(bar_source.FEATURES),
+)(lambda s, d: h1_windows(s, d).select("symbol", "rn", "end_time", F.posexplode(F.arrays_zip(*_ALL)).alias("i", "b")).select("symbol", "rn", "end_time", "i", "b.*"))
 query(
     "window_counts",
     f"{BARS}, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, n, greatest(0, floor((n - {L}) / {STRIDE}) + 1)::BIGINT AS n_windows, greatest(0, floor((n - {T} + 1 - {L}) / {STRIDE}) + 1)::BIGINT AS n_targets FROM c",
@@ -294,19 +319,21 @@ query(
     " SELECT feature, f, f / max(f) OVER () AS importance FROM f",
     "f importance",
 )(lambda s, d: statistics.anova_f(labelled(s, d), ("entry", "target_value", "rn")))
+#: The first four fifths of each symbol's bars.
+TRAINING = "rn < n - floor(n * 0.2)"
 query(
     "zscore_train_stats",
-    f"{ROWS}, t AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM r WHERE rn < 400) SELECT symbol, rn, (close - m) / (s + 1e-8) AS close FROM r, t",
+    f"{ROWS}, t AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM r WHERE rn < n - trunc(n * 0.2)) SELECT symbol, rn, (close - m) / (s + 1e-8) AS close FROM r, t",
     "close",
-)(lambda s, d: (lambda x: statistics.zscored(x, x.filter("rn < 400"), ("close",)))(numbered(h1(s, d)).select("symbol", "rn", "close")))
+)(lambda s, d: (lambda x: statistics.zscored(x, x.filter(TRAINING), ("close",)).drop("n"))(numbered(h1(s, d)).select("symbol", "rn", "n", "close")))
 query(
     "median_impute",
-    f"{ROWS}, x AS (SELECT symbol, rn, CASE WHEN rn % 11 = 0 THEN NULL ELSE close END AS close FROM r), t AS (SELECT quantile_cont(close, 0.5) AS m FROM x WHERE rn < 400) SELECT symbol, rn, coalesce(close, m) AS close FROM x, t",
+    f"{ROWS}, x AS (SELECT symbol, rn, n, CASE WHEN rn % 11 = 0 THEN NULL ELSE close END AS close FROM r), t AS (SELECT quantile_cont(close, 0.5) AS m FROM x WHERE rn < n - trunc(n * 0.2)) SELECT symbol, rn, coalesce(close, m) AS close FROM x, t",
     "close",
 )(
-    lambda s, d: (lambda x: statistics.imputed(x, x.filter("rn < 400"), ("close",)))(
+    lambda s, d: (lambda x: statistics.imputed(x, x.filter(TRAINING), ("close",)).drop("n"))(
         numbered(h1(s, d)).select(
-            "symbol", "rn", F.when(F.col("rn") % 11 == 0, F.when(F.col("rn") % 22 == 0, F.lit(float("nan"))).when(F.col("rn") % 33 == 0, F.lit(float("inf")))).otherwise(F.col("close")).alias("close")
+            "symbol", "rn", "n", F.when(F.col("rn") % 11 == 0, F.when(F.col("rn") % 22 == 0, F.lit(float("nan"))).when(F.col("rn") % 33 == 0, F.lit(float("inf")))).otherwise(F.col("close")).alias("close")
         )
     )
 )
@@ -344,7 +371,11 @@ query(
     f"WITH m AS (WITH {METRICS}) SELECT symbol, " + ", ".join("(" + " + ".join(f"{n}_{c}" for c in ("buy", "sell", "hold")) + f") / 3 AS macro_{n}" for n in ("precision", "recall", "f1")) + " FROM m",
     "macro_precision macro_recall macro_f1",
 )(lambda s, d: evaluation.macro(evaluation.class_metrics(scored(s, d), ("symbol",), hold=True)).select("symbol", "macro_precision", "macro_recall", "macro_f1"))
-query("no_train_metrics", f"{SCORED} SELECT symbol, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision_buy, 1.0::DOUBLE AS precision_sell, 1.0::DOUBLE AS recall_buy, 1.0::DOUBLE AS recall_sell FROM scored GROUP BY 1")(
+query(
+    "no_train_metrics",
+    "WITH m AS (WITH " + METRICS.replace("AS predicted FROM events)", "AS other FROM events), shown AS (SELECT *, label AS predicted FROM scored)").replace("FROM scored GROUP BY symbol", "FROM shown GROUP BY symbol")
+    + ") SELECT symbol, accuracy, precision_buy, precision_sell, recall_buy, recall_sell FROM m",
+)(
     lambda s, d: evaluation.class_metrics(training.no_train(scored(s, d).drop("predicted").withColumn("direction", F.col("label"))), ("symbol",)).select("symbol", "accuracy", "precision_buy", "precision_sell", "recall_buy", "recall_sell")
 )
 _MODELS = "SELECT symbol, 'm' || k AS model_id, k, precision_buy * k / 2 AS precision_buy, recall_buy, precision_sell, recall_sell * k / 3 AS recall_sell, 1.0 + 0.1 * k AS val_loss, 1.2 AS train_loss FROM m, range(1, 4) t(k)"
@@ -381,6 +412,11 @@ _COUNTED = f"{VOTES}, k AS (SELECT row_id, prediction, count(*) AS c, min(priori
 query("vote_unanimous", f"{VOTES} SELECT row_id, (CASE WHEN count(DISTINCT prediction) = 1 THEN min(prediction) ELSE 2 END)::INT AS prediction FROM votes GROUP BY 1")(lambda s, d: ensemble.vote(votes(s, d), "unanimous", components=4))
 query("vote_majority", f"{_COUNTED} SELECT row_id, (CASE WHEN count(*) = 1 THEN min(prediction) ELSE 2 END)::INT AS prediction FROM x WHERE c = top GROUP BY 1")(lambda s, d: ensemble.vote(votes(s, d), "majority", components=4))
 query("vote_priority", f"{_COUNTED} SELECT row_id, min_by(prediction, p)::INT AS prediction FROM x WHERE c = top GROUP BY 1")(lambda s, d: ensemble.vote(votes(s, d), "priority_tiebreak", components=4))
+query(
+    "vote_no_rows",
+    f"{VOTES}, k AS (SELECT row_id, prediction, count(*) AS c FROM votes WHERE prediction <> 2 GROUP BY 1, 2), x AS (SELECT *, max(c) OVER (PARTITION BY row_id) AS top FROM k),"
+    " y AS (SELECT row_id, CASE WHEN count(*) = 1 THEN min(prediction) ELSE 2 END AS p FROM x WHERE c = top GROUP BY 1) SELECT event_id AS row_id, coalesce(p, 2)::INT AS prediction FROM events LEFT JOIN y ON row_id = event_id",
+)(lambda s, d: (lambda v: ensemble.vote(v.filter("prediction <> 2"), "majority", rows_of=v))(votes(s, d)))
 query("filter_override", f"{VOTES} SELECT a.row_id, (CASE WHEN b.prediction = 1 THEN a.prediction ELSE 2 END)::INT AS prediction FROM votes a JOIN votes b USING (row_id) WHERE a.model = 1 AND b.model = 2")(
     lambda s, d: (lambda v: ensemble.filter_override(v.filter("model = 1"), v.filter("model = 2"), 1))(votes(s, d))
 )
@@ -395,16 +431,12 @@ query(
 )
 
 
-def _grid_sql() -> str:
-    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    rows = ", ".join("(" + ", ".join(map(show, (*m, *z))) + ")" for m in ensemble.MANAGERS for z in ensemble.SIZERS)
-    return (
-        f"{LABELS} SELECT symbol, manager, (min_points * stop)::DOUBLE AS stop_points, (min_points * take)::DOUBLE AS take_points, reward_ratio::DOUBLE AS reward_ratio, max_minutes::INT AS max_minutes, sizer, risk::DOUBLE AS risk, lots::DOUBLE AS lots, factor::DOUBLE AS factor, steps::INT AS steps, max_lots::DOUBLE AS max_lots"
-        f" FROM least, (VALUES {rows}) g(manager, stop, take, reward_ratio, max_minutes, sizer, risk, lots, factor, steps, max_lots)"
-    )
-
-
-query("backtest_grid", _grid_sql(), "stop_points take_points reward_ratio risk lots factor max_lots")(lambda s, d: ensemble.backtest_grid(statistics.min_target_points(point_targets(s, d))))
+_GRID = (
+    f"{LABELS}, m AS (SELECT * FROM (VALUES ('fixed_sl_tp', 1.0, 0.5, NULL, NULL), ('fixed_sl_tp', 1.0, 1.0, NULL, NULL), ('risk_reward', 1.0, NULL, 3.0, NULL), ('time_stop', 1.0, 1.0, NULL, 240)) t(manager, stop, take, reward_ratio, max_minutes)),"
+    " z AS (SELECT * FROM (VALUES ('percentage_risk', 0.02, 0.01, NULL, NULL, 1.0), ('martingale_lot_size', NULL, 0.01, 1.5, 5, NULL), ('anti_martingale_lot_size', NULL, 0.01, 1.5, 5, NULL)) t(sizer, risk, lots, factor, steps, max_lots))"
+    " SELECT symbol, manager, (min_points * stop)::DOUBLE AS stop_points, (min_points * take)::DOUBLE AS take_points, reward_ratio::DOUBLE AS reward_ratio, max_minutes::INT AS max_minutes, sizer, risk::DOUBLE AS risk, lots::DOUBLE AS lots, factor::DOUBLE AS factor, steps::INT AS steps, max_lots::DOUBLE AS max_lots FROM least, m, z"
+)
+query("backtest_grid", _GRID, "stop_points take_points reward_ratio risk lots factor max_lots")(lambda s, d: ensemble.backtest_grid(statistics.min_target_points(point_targets(s, d))))
 query(
     "ensemble_metadata",
     f"{_GATED} SELECT symbol AS ensemble_id, avg(precision_buy) AS precision_buy, avg(recall_buy) AS recall_buy, 0.0::DOUBLE AS precision_sell, 0.0::DOUBLE AS recall_sell, max(k * 10)::INT AS sequence_length, count(*) AS components, symbol FROM w GROUP BY symbol",
@@ -413,27 +445,23 @@ query(
 
 # Clusters
 
-CENTROIDS = [(i, [float((i * 7 + j * 3) % 5 - 2) / 10 for j in range(4)]) for i in range(5)] + [(5, [90.0, 90.0, 90.0, 90.0])]
+WIDTH = 64  # of the embeddings table
+CENTROIDS = [(i, [float((i * 7 + j * 3) % 5 - 2) / 10 for j in range(WIDTH)]) for i in range(5)] + [(5, [90.0] * WIDTH)]
 _C = "c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {v}::DOUBLE[])" for i, v in CENTROIDS) + ") t(cluster, w))"
-_K = f"{_C}, p AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, 5), lambda i: (v[i] - w[i]) ** 2)) AS distance FROM p, c), a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"
+_K = f"{_C}, p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, {WIDTH + 1}), lambda i: (v[i] - w[i]) ** 2)) AS distance FROM p, c), a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"
 
 
 def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def heads(spark, sf_dir):
-    """The first four values of each vector: what the SQL of kmeans_assign, kmeans_step and kmeans_loss reads, and no other query."""
-    return vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 4))
-
-
-query("kmeans_assign", f"{_K} SELECT vec_id, cluster, distance FROM a", "distance")(lambda s, d: clustering.assign(heads(s, d), CENTROIDS).select("vec_id", "cluster", "distance"))
+query("kmeans_assign", f"{_K} SELECT vec_id, cluster, distance FROM a", "distance")(lambda s, d: clustering.assign(vectors(s, d), CENTROIDS).select("vec_id", "cluster", "distance"))
 query(
     "kmeans_step",
-    f"{_K} SELECT c.cluster, count(vec_id) AS members, " + ", ".join(f"coalesce(avg(v[{i + 1}]), any_value(w[{i + 1}])) AS x{i}" for i in range(4)) + " FROM c LEFT JOIN a USING (cluster) GROUP BY 1",
-    "x0 x1 x2 x3",
-)(lambda s, d: clustering.step(heads(s, d), CENTROIDS).select("cluster", "members", *(F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(4))))
-query("kmeans_loss", f"{_K} SELECT avg(distance) AS loss FROM a", "loss")(lambda s, d: clustering.loss(heads(s, d), CENTROIDS))
+    f"{_K} SELECT c.cluster, count(vec_id) AS members, " + ", ".join(f"coalesce(avg(v[{i + 1}]), any_value(w[{i + 1}])) AS x{i}" for i in range(WIDTH)) + " FROM c LEFT JOIN a USING (cluster) GROUP BY 1",
+    " ".join(f"x{i}" for i in range(WIDTH)),
+)(lambda s, d: clustering.step(vectors(s, d), CENTROIDS).select("cluster", "members", *(F.get("vector", F.lit(i)).alias(f"x{i}") for i in range(WIDTH))))
+query("kmeans_loss", f"{_K} SELECT avg(distance) AS loss FROM a", "loss")(lambda s, d: clustering.loss(vectors(s, d), CENTROIDS))
 
 
 @query("kmeans_fit")
@@ -454,7 +482,14 @@ query("sampled_weights", f"{SCORED}, c AS (SELECT label, count(*) AS n FROM scor
 _SIZED = "{s}, c AS (SELECT label, count(*) AS n FROM scored GROUP BY 1) SELECT label, (SELECT {f}(n) FROM c) AS total FROM c"
 for _name, _how, _fold in (("oversample", "over", "max"), ("undersample", "under", "min"), ("over_under_sample", "over_under", "max")):
     query(f"{_name}_sizes", _SIZED.format(s=SCORED, f=_fold))(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)).groupBy("label").agg(F.count("*").alias("total")))
-    query(_name)(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)))
+    query(
+        _name,
+        f"{SCORED}, k AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY md5('44{{\"event_id\":' || event_id || '}}'), event_id) - 1 AS place FROM scored),"
+        f" w AS (SELECT *, (SELECT {_fold}(n) FROM k) AS want FROM k) SELECT symbol, event_id, label, predicted FROM (SELECT *, unnest(range(want // n + CASE WHEN place < want % n THEN 1 ELSE 0 END)) FROM w)",
+    )(lambda s, d, how=_how: training.sampled(scored(s, d), how, keys=("event_id",)))
+query("resampled_weights", f"{SCORED}, c AS (SELECT label, count(*) AS n FROM scored WHERE NOT (symbol = 'click' AND label = 1) GROUP BY 1), u AS (SELECT label, (SELECT min(n) FROM c) AS n FROM c) SELECT label, n AS \"rows\", sum(n) OVER () / (count(*) OVER () * n) AS weight FROM u", "weight")(
+    lambda s, d: training.resampled(scored(s, d).filter("not (symbol = 'click' and label = 1)"), "undersample", keys=("event_id",)).groupBy("label").agg(F.count("*").alias("rows"), F.max("weight").alias("weight"))
+)
 query("iso_times", f"{BARS} SELECT symbol, time, strftime(make_timestamp(time * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM bars")(lambda s, d: h1(s, d).select("symbol", "time", resample.isoformat("time").alias("iso")))
 
 
@@ -474,12 +509,12 @@ query("forest_fit")(lambda s, d: training.predict(training.fit_trees(vectors(s,
 query("frame_metadata", f"""{BARS} SELECT symbol, min(time) AS start_time, max(time) AS end_time, count(*) AS "rows", '{datasets.canonical({"length": L, "stride": STRIDE})}' AS options FROM bars GROUP BY 1""")(
     lambda s, d: datasets.metadata(h1(s, d), length=L, stride=STRIDE)
 )
-_MANIFEST = "mf AS (SELECT event_type AS symbol, event_id % 9 AS version, CASE WHEN event_id % 2 = 0 THEN 'train' ELSE 'eval' END AS split, 'd' || (event_id % 3) AS digest FROM events WHERE event_id % 7 > 1)"
+_MANIFEST = "mf AS (SELECT event_type AS symbol, event_id % 9 AS version, CASE WHEN event_id % 2 = 0 THEN 'train' ELSE 'eval' END AS split, 'd' || (event_id % 3) AS digest FROM events)"
 
 
 def manifest(spark, sf_dir):
     i = F.col("event_id")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter(i % 7 > 1)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(F.col("event_type").alias("symbol"), (i % 9).alias("version"), F.when(i % 2 == 0, "train").otherwise("eval").alias("split"), F.concat(F.lit("d"), i % 3).alias("digest"))
 
 

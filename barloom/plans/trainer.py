@@ -39,13 +39,13 @@ class Plan:
     model_type: str = "trees"  # trees, no_train or clusters
     length: int = 24
     target: windows.TimeTarget = windows.TimeTarget(6, "points")
-    point: float = 0.1
+    point: float | None = 0.1  # None: each symbol's own, from bars that have point_size
     percentile: int = 50
     features: tuple[str, ...] = ("close",)
     preprocess: object = None
     clusters: int | None = None
     tree_params: dict = field(default_factory=dict)
-    sampling: str = "none"
+    sampling: str | None = None  # what the environment names, else weights
 
 
 def _features(df: DataFrame, plan: Plan) -> DataFrame:
@@ -59,7 +59,7 @@ def run_symbol(bars: DataFrame, symbol: str, plan: Plan, settings: Settings, sto
     try:
         if plan.model_type == "clusters":
             return _clusters(own, plan, settings, result, store)
-        made = windows.windows(own, plan.length, settings.sequence_stride, target=plan.target, point=plan.point)
+        made = windows.windows(own, plan.length, settings.sequence_stride, target=plan.target, point=F.col("point_size") if plan.point is None else plan.point)
         if store:
             options = {"symbol": symbol, "length": plan.length, "stride": settings.sequence_stride, "target": vars(plan.target), "point": plan.point}
             version = store.write({"train": made}, symbol, options)
@@ -76,7 +76,7 @@ def run_symbol(bars: DataFrame, symbol: str, plan: Plan, settings: Settings, sto
         if plan.model_type == "no_train":
             model, predicted = None, training.no_train(held.withColumn("direction", F.col("label")))
         else:
-            model = training.fit_trees(training.sampled(train, plan.sampling, keys=("symbol", "rn")), 3, weight="weight" if plan.sampling == "weights" else None, **plan.tree_params)
+            model = training.fit_trees(training.resampled(train, plan.sampling, keys=("symbol", "rn")), 3, weight="weight", **plan.tree_params)
             predicted = training.predict(model, held)
         scores = evaluation.class_metrics(predicted, ("symbol",))
         losses = {"val_loss": F.lit(0.0), "train_loss": F.lit(0.0)} if model is None else {"val_loss": F.lit(training.log_loss(model, held)), "train_loss": F.lit(training.log_loss(model, train))}

@@ -35,7 +35,7 @@ def test_against_sql(spark):
     for t in ("events", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE}/{t}.parquet'")
     show = lambda rows: sorted(tuple("%.9g" % v if isinstance(v, float) else str(v) for v in r) for r in rows)
-    for name in ("flagship", "bars_h4", "rsi_14", "atr_14", "bollinger_14", "targets_points", "anova_f", "quality_gate", "vote_priority", "signals", "kmeans_step"):
+    for name in catalog.ORACLE:
         df = catalog.QUERIES[name](spark, SMOKE)
         names = sorted(df.columns)
         want = con.sql(catalog.ORACLE[name]).select(*names).fetchall()

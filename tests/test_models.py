@@ -162,3 +162,45 @@ def test_trainer(spark, tmp_path):
     assert known.metrics["accuracy"] == 1 and known.evaluator_passed
     clusters = trainer.run_symbol(bars, "s", trainer.Plan(model_type="clusters", length=12, clusters=4), settings)
     assert clusters.evaluator_passed and clusters.metrics["val_loss"] > 0
+
+
+def test_votes_of_rows_without_any(spark):
+    votes = spark.createDataFrame([(1, 0, 1), (2, None, 1), (3, 7, 1)], "row_id int, prediction int, priority int")
+    rows = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 4)], "row_id int")
+    for rule in ("unanimous", "majority", "priority_tiebreak"):
+        got = sorted(map(tuple, ensemble.vote(votes, rule, rows_of=rows).collect()))
+        assert got == [(1, 0), (2, 2), (3, 2), (4, 2)]
+
+
+def test_sampling_of_the_environment(spark, monkeypatch):
+    assert training.sampling_from_env({}) == "weights"
+    assert training.sampling_from_env({"DATA_SAMPLING_STRATEGY": "both", "SAMPLING_STRATEGY": " Up "}) == "over"
+    assert training.sampling_from_env({"TRAIN_DATA_SAMPLING": "off", "SAMPLING_STRATEGY": "up"}) == "none"
+    df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "id int, label int")
+    monkeypatch.setattr(training, "sampling_from_env", lambda: "weights")
+    assert {(r["label"], r["weight"]) for r in training.resampled(df).collect()} == {(0, 40 / 60), (1, 2.0)}
+    assert {(r["weight"], r["count"]) for r in training.resampled(df, "under", keys=("id",)).groupBy("label", "weight").count().collect()} == {(1.0, 10)}
+    assert {r["weight"] for r in training.resampled(df, "none").collect()} == {1.0}
+
+
+def test_symbol_properties(spark, tmp_path):
+    import json
+
+    from barloom.sources import properties
+
+    whole = {"symbol": "EURUSD", "source": "mt5", "group": "fx", "contract_size": 100000, "point_size": 1e-5, "digits": 5, "data_start": "2020-01-01"}
+    path = properties.properties_path(str(tmp_path), "mt5", "fx", "EURUSD")
+    (tmp_path / "mt5" / "fx" / "EURUSD").mkdir(parents=True)
+    with open(path, "w") as f:
+        json.dump(whole, f, indent=2)
+    got = properties.read(spark, str(tmp_path), "mt5", "fx", "EURUSD")
+    assert got.first().asDict() == whole | {"data_end": None}
+    bars = spark.createDataFrame([("EURUSD", 1), ("GBPUSD", 2)], "symbol string, time int")
+    assert properties.with_point(bars.filter("time = 1"), got).first()["point_size"] == 1e-5
+    with pytest.raises(Exception, match="No properties of GBPUSD"):
+        properties.with_point(bars, got).collect()
+    for name in ("contract_size", "digits", "symbol"):
+        for value in (None, ""):
+            text = json.dumps(whole | {name: value})
+            with pytest.raises(Exception, match=f"without a valid {name}"):
+                properties.parsed(spark.createDataFrame([(text,)], "value string")).collect()
