@@ -6,11 +6,13 @@ so a text costs its distinct features times RANK, not their pairs.
 Features: words hashed to 2 ** BITS with weights count / sqrt(sum of counts squared);
 structure statistics of the whole text (shares of symbols, capitals, digits, echoed and
 distinct words, repeated lines, ...) and metadata (the lengths), each in BINS one-hot bins.
-Labels, lang, source and doc_id are no inputs. Trained on the driver by AdaGrad on at most
-SAMPLE labelled rows (a parameter); the broadcast model has a fixed size (2 ** BITS rows).
+Labels, lang, source and doc_id are no inputs. Trained in one task by AdaGrad on at most
+SAMPLE labelled documents (a parameter); the broadcast model has a fixed size (2 ** BITS rows).
 
-Null and empty texts have only bins and score like any other. Without labelled rows every
-score is 0.5. Repeated rows stay and score alike; further columns are not read.
+Null and empty texts have only bins and score like any other. Very long texts are read whole,
+their words counted by slot. Without labelled rows every score is 0.5. Repeated rows stay and
+score alike, so ties do too; of rows with one doc_id one text trains. Further columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +130,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
 
         return batch
 
-    got = sorted((bytes(r["at"]), bytes(r["x"]), r["y"]) for r in map_batches(sample, make, "at binary, x binary, y int").collect())
-    return Machine().train([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for a, x, y in got])
+    def trained(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("at", "x", "y")))))
+        own = Machine().train([(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for a, x, y in rows])
+        yield pa.RecordBatch.from_pydict({"w0": [own.w0], "w": [own.w.tobytes()], "v": [own.v.tobytes()]})
+
+    # at most `most` rows meet in one task; only the model, of a fixed size, comes to the driver
+    row = map_batches(sample, make, "at binary, x binary, y int").repartition(1).mapInArrow(trained, "w0 double, w binary, v binary").first()
+    own = Machine()
+    if row is None:
+        return own.train([])
+    own.w0, own.w, own.v = row["w0"], np.frombuffer(row["w"], np.float32), np.frombuffer(row["v"], np.float32).reshape(SLOTS, RANK)
+    return own
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

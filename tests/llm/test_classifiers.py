@@ -87,3 +87,60 @@ def test_sample_is_bounded(spark):
     got = labelled_sample(docs, labels, "toxic", 4, 2, 10).collect()
     assert len(got) == 10
     assert sorted(map(tuple, got)) == sorted(map(tuple, labelled_sample(docs.repartition(7), labels, "toxic", 4, 2, 10).collect()))
+
+
+def test_machine_against_plain_loops():
+    """AdaGrad steps on all pairs of features by the letter, and the same scores."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(30):
+        at = np.sort(rng.choice(40, 6, replace=False))
+        rows.append((at, rng.random(6), int(at[0] < 5)))
+    got = q.Machine().train(rows, 2)
+    plain = q.Machine()
+    w0, w, v = 0.0, plain.w[:40].astype(float), plain.v[:40].astype(float)
+    g0, gw, gv = 1e-2, np.full(40, 1e-2), np.full(v.shape, 1e-2)
+    ones, order = sum(y for *_, y in rows), np.random.default_rng(3)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            at, x, y = rows[i]
+            margin = w0 + sum(w[a] * b for a, b in zip(at, x)) + sum(v[at[i]] @ v[at[k]] * x[i] * x[k] for i in range(6) for k in range(i))
+            g = (1 / (1 + math.exp(-margin)) - y) * 0.5 * len(rows) / (ones if y else len(rows) - ones)
+            dw = [g * b + q.DECAY * w[a] for a, b in zip(at, x)]
+            dv = [g * b * sum(v[c] * d for c, d in zip(at, x) if c != a) + q.DECAY * v[a] for a, b in zip(at, x)]
+            for a, d, e in zip(at, dw, dv):
+                gw[a] += d * d
+                gv[a] += e * e
+                w[a] -= q.RATE * d / math.sqrt(gw[a])
+                v[a] -= q.RATE * e / np.sqrt(gv[a])
+            g0 += g * g
+            w0 -= q.RATE * g / math.sqrt(g0)
+    assert math.isclose(got.w0, w0, abs_tol=1e-4) and np.allclose(got.w[:40], w, atol=1e-4) and np.allclose(got.v[:40], v, atol=1e-4)
+
+
+def test_features_and_ftrl_against_plain_loops(monkeypatch):
+    """The feature set by sets of tuples, and FTRL-proximal coordinate by coordinate."""
+    words = "The the, cat! sat on «the» catalogue mat".split()
+    bare = ["the", "the", "cat", "sat", "on", "the", "catalogue", "mat"]
+    want = {(w,) for w in bare} | set(zip(bare, bare[1:])) | {(a, None, b) for a, b in zip(bare, bare[2:])} | {("stem", w[:k]) for w in bare for k in t.STEMS if len(w) > k}
+    assert len(t.Features().set(" ".join(words))) == len(want)
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(np.arange(1, 30), 8, replace=False)), int(i % 3 == 0)) for i in range(90)]
+    rows = [(np.union1d(x, [40]) if y else x, y) for x, y in rows]
+    monkeypatch.setattr(t, "L1", 0.4)
+    at, values, intercept = t.train(rows, 2)
+    z, n, z0, n0, order = dict.fromkeys(range(50), 0.0), dict.fromkeys(range(50), 0.0), 0.0, 0.0, np.random.default_rng(7)
+    weight = lambda z, n, l1: 0.0 if abs(z) <= l1 else (math.copysign(l1, z) - z) / ((t.BETA + math.sqrt(n)) / t.ALPHA + t.L2)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            x, y = rows[i]
+            w0 = weight(z0, n0, 0)
+            g = 1 / (1 + math.exp(-(w0 + sum(weight(z[k], n[k], 0.4) for k in x)))) - y
+            for k in x:
+                w = weight(z[k], n[k], 0.4)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / t.ALPHA * w
+                n[k] += g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / t.ALPHA * w0
+            n0 += g * g
+    want = {k: weight(z[k], n[k], 0.4) for k in z if abs(z[k]) > 0.4}
+    assert sorted(want) == at.tolist() and np.allclose(values, [want[k] for k in sorted(want)], atol=1e-5) and math.isclose(intercept, weight(z0, n0, 0), abs_tol=1e-9)
