@@ -42,7 +42,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .common import id_and_text, map_batches
 
-LEAF, LONG = 1 << 12, 1 << 14
+LEAF, LONG = 1 << 12, 1 << 16
 FIRST_WINDOW = 64
 #: Where a pre-token begins in any surroundings.
 _BEGINS = re.compile(r"(?<=[!-~\w])[ \n]")
