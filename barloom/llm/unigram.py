@@ -6,12 +6,15 @@ keeps, per place, only the best score and the number of tokens on its path: no p
 no piece is stored. The rules are those of the tokenizers library's Unigram model with
 byte fallback, for which `reference` builds a tokenizer: among equal scores the piece
 that begins first wins; a character without a piece of its own costs the least score
-less UNK_PENALTY and counts one token for each byte of UTF-8.
+less UNK_PENALTY; unknown characters that follow each other are one run, with the first
+piece of the vocabulary (the unknown one) among them where a text spells it out. A run
+counts one token for each byte of UTF-8, or one in all where a byte of it has no piece.
 
 Blanks read as BLANK, and a text that isn't empty gets one in front. Pieces hold a BLANK
 only at their front and no line break, so best paths part there: each distinct stretch
-is solved once a task (the vocabulary is checked for this; if it doesn't hold, texts are
-solved whole). Null and empty texts have 0 tokens. Repeated rows stay; other columns
+is solved once a task. The vocabulary is checked for this and for a piece of every byte;
+if it doesn't hold, or a text spells out the unknown piece, texts are solved whole. A
+very long text without blanks is one stretch, solved in memory that grows with it. Null and empty texts have 0 tokens. Repeated rows stay; other columns
 than doc_id and text are not read; an empty table gives an empty result.
 """
 
@@ -54,14 +57,15 @@ def reference(vocab: list[tuple[str, float]]):
 class Counter:
     def __init__(self, vocab: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
+        self.unknown = vocab[0][0]
         for piece, score in vocab:
             if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, piece == self.unknown))
         self.automaton.make_automaton()
         self.unk = min(s for _, s in vocab) - UNK_PENALTY
         names = {p for p, _ in vocab}
-        self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        parted = not any(BLANK in p.lstrip(BLANK) or "\n" in p and len(p) > 1 for p, _ in vocab)
+        self.bytes = frozenset(b for b in range(256) if f"<0x{b:02X}>" in names)
+        parted = len(self.bytes) == 256 and not any(BLANK in p.lstrip(BLANK) or "\n" in p and len(p) > 1 for p, _ in vocab)
         self.part = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n") if parted else re.compile(r"(?s).+")
         self.memo: dict[str, int] = {}
 
@@ -69,37 +73,52 @@ class Counter:
         """Tokens of a stretch."""
         size = len(text)
         score, count = [0.0] * (size + 1), [0] * (size + 1)
+        runs: dict[int, tuple[int, int | None]] = {}  # end of a run: tokens before it, its bytes (None: one has no piece)
 
-        def settle(place, best, tokens, alone):
+        def unknown(start, end):
+            """Tokens up to `end` if the characters from `start` are unknown."""
+            before, held = runs.get(start, (count[start], 0))
+            own = text[start:end].encode("utf-8", "surrogatepass")
+            held = held + len(own) if held is not None and self.bytes.issuperset(own) else None
+            return before + (1 if held is None else held), (before, held)
+
+        def settle(place, best, tokens, run, alone):
             """After its pieces: the unknown character may be better, or the only way."""
             if not alone:
                 other = score[place - 1] + self.unk
                 if best is None or other > best:
-                    best, tokens = other, count[place - 1] + (len(text[place - 1].encode("utf-8", "surrogatepass")) if self.bytes else 1)
+                    best = other
+                    tokens, run = unknown(place - 1, place)
             score[place], count[place] = best, tokens
+            if run is not None:
+                runs[place] = run
 
-        place, best, tokens, alone = 0, None, 0, False
-        for end, (length, value) in self.automaton.iter(text):  # by end, then longest first: by start
+        place, best, tokens, run, alone = 0, None, 0, None, False
+        for end, (length, value, spelled) in self.automaton.iter(text):  # by end, then longest first: by start
             end += 1
             if end != place:
                 if place:
-                    settle(place, best, tokens, alone)
+                    settle(place, best, tokens, run, alone)
                 for skipped in range(place + 1, end):
-                    settle(skipped, None, 0, False)
-                place, best, alone = end, None, False
+                    settle(skipped, None, 0, None, False)
+                place, best, run, alone = end, None, None, False
             own = score[end - length] + value
             if best is None or own > best:
-                best, tokens = own, count[end - length] + 1
+                best, tokens, run = own, count[end - length] + 1, None
+                if spelled:
+                    joined, run = unknown(end - length, end)
+                    tokens = joined if end - length in runs else tokens  # alone it is a token
             if length == 1:
                 alone = True
         if place:
-            settle(place, best, tokens, alone)
+            settle(place, best, tokens, run, alone)
         for skipped in range(place + 1, size + 1):
-            settle(skipped, None, 0, False)
+            settle(skipped, None, 0, None, False)
         return count[size]
 
     def __call__(self, texts: list[str]) -> list[int]:
-        parts = [self.part.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        texts = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        parts = [([t] if self.unknown and self.unknown in t else self.part.findall(t)) if t else [] for t in texts]
         new = list(set().union(*parts) - self.memo.keys()) if parts else []
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()

@@ -42,6 +42,22 @@ def test_ties_and_unparted_vocabulary():
             assert counter([text]) == [len(got.ids)], text
 
 
+def test_runs_of_unknown_characters(vocab):
+    """They are one run; without a piece of every byte it counts once, and the unknown piece joins it."""
+    counter, library = u.Counter(vocab), u.reference(vocab)
+    for text in ("<unk>", "a <unk>日", "\U0001f9ff<unk>", "<unk>\n\n<unk>", "<unk><unk> x\U0001f9ff\U0001f9ff", "\n<unk>\nb"):
+        assert counter([text]) == [len(library.encode(text).ids)], text
+    rng = random.Random(5)
+    letters = "aaé日\n z"
+    for held in ("", "é", "éz", "é日"):
+        pieces = {"<unk>": 0.0, "a": -1.0, "aa": -1.5, "▁": -2.0, "a▁": -2.5} | {f"<0x{b:02X}>": -3.0 for b in held.encode()}
+        counter, library = u.Counter(list(pieces.items())), u.reference(list(pieces.items()))
+        assert counter(["xxya"]) == [len(library.encode("xxya").ids)]
+        for _ in range(500):
+            text = "".join(rng.choice([*letters, "<unk>"]) for _ in range(rng.randrange(1, 14)))
+            assert counter([text]) == [len(library.encode(text).ids)], (held, text)
+
+
 def test_rows(spark, vocab):
     rows = [(1, None, "c", "c"), (2, "", "c", "c"), (3, "hello world\n" * 20_000, "c", "c"), (3, "hello", "c", "c"), (3, "hello", "c", "c"), (None, "x", None, None)]
     library = u.reference(vocab)
