@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 30 * 86400  # seconds
 ROWS = 4096
+GROUP = 256  # block ends folded in one task
+LEVELS = 2
 
 
 def in_block():
@@ -56,11 +58,40 @@ def past(size: int):
     return in_block().rowsBetween(-(size - 1), 0)
 
 
-def recurrence(rows: DataFrame, inputs: dict[str, str], keep: float, block: int = 512) -> DataFrame:
+def _starts(ends: DataFrame, inputs: list[str], factor: float, group: int, levels: int) -> DataFrame:
+    """The value each part begins with: start[p+1] = factor * start[p] + end[p], start[0] = 0; ends: symbol, part, inputs.
+
+    `group` parts are folded at a time, then the groups' ends in the same way, `levels` times over;
+    what is left at the top, one row for group ** levels parts, is folded by symbol.
+    """
+    keys = ["symbol", "group"] if levels else ["symbol"]
+    if levels:
+        ends = ends.withColumn("group", F.floor(F.col("part") / group))
+    begun = F.expr(f"cast(array() as array<struct<part:bigint,{','.join(f'{y}:double' for y in inputs)}>>)")
+    start = F.struct(*(F.lit(0.0).alias(y) for y in inputs), begun.alias("out"))
+
+    def step(state, x):
+        begins = F.struct(x["part"].alias("part"), *(state[y].alias(y) for y in inputs))
+        passed = [(F.lit(factor) * state[y] + x[y]).alias(y) for y in inputs]
+        return F.struct(*passed, F.array_append(state["out"], begins).alias("out"))
+
+    parts = F.array_sort(F.collect_list(F.struct("part", *inputs)))
+    folded = ends.groupBy(*keys).agg(F.aggregate(parts, start, step).alias("f"))
+    own = folded.select(*keys, F.explode("f.out").alias("o")).select(*keys, "o.part", *(F.col(f"o.{y}") for y in inputs))
+    if not levels:
+        return own
+    tops = folded.select("symbol", F.col("group").alias("part"), *(F.col(f"f.{y}") for y in inputs))
+    upper = _starts(tops, inputs, factor**group, group, levels - 1)
+    upper = upper.select("symbol", F.col("part").alias("group"), *(F.col(y).alias(f"upper_{y}") for y in inputs))
+    reach = F.pow(F.lit(factor), F.col("part") % group)
+    return own.join(upper, ["symbol", "group"]).select("symbol", "part", *((F.col(y) + reach * F.col(f"upper_{y}")).alias(y) for y in inputs))
+
+
+def recurrence(rows: DataFrame, inputs: dict[str, str], keep: float, block: int = 512, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
     """Adds y[t] = keep * y[t-1] + u[t] for each output: input in `inputs`; rows: symbol, rn and more.
 
     Inside a block y is a running sum of u / keep ** place, scaled back. A block's start
-    value comes from the ends of the blocks before, folded over one row a block.
+    value comes from the ends of the blocks before, folded in levels of `group` rows.
     """
     if keep == 0:
         return rows.withColumns({y: F.col(u) for y, u in inputs.items()})
@@ -68,17 +99,10 @@ def recurrence(rows: DataFrame, inputs: dict[str, str], keep: float, block: int
     w = Window.partitionBy("symbol", "part").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     scale = F.pow(F.lit(keep), F.col("at"))
     own = own.withColumns({f"local_{y}": scale * F.sum(F.col(u) / scale).over(w) for y, u in inputs.items()})
-    ends = own.groupBy("symbol", "part").agg(*(F.max_by(f"local_{y}", "rn").alias(y) for y in inputs), F.max("at").alias("at"))
-    entry = F.struct("part", "at", *inputs)
-    start = F.struct(*(F.lit(0.0).alias(y) for y in inputs), F.expr(f"cast(array() as array<struct<part:bigint,{','.join(f'{y}:double' for y in inputs)}>>)").alias("out"))
-
-    def step(state, x):
-        begins = F.struct(x["part"].alias("part"), *(state[y].alias(y) for y in inputs))
-        passed = [(F.pow(F.lit(keep), x["at"] + 1) * state[y] + x[y]).alias(y) for y in inputs]
-        return F.struct(*passed, F.array_append(state["out"], begins).alias("out"))
-
-    starts = ends.groupBy("symbol").agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step)["out"].alias("out"))
-    starts = starts.select("symbol", F.explode("out").alias("o")).select("symbol", "o.part", *(F.col(f"o.{y}").alias(f"start_{y}") for y in inputs))
+    # all blocks but a symbol's last, whose end nothing follows, hold `block` rows
+    ends = own.groupBy("symbol", "part").agg(*(F.max_by(f"local_{y}", "rn").alias(y) for y in inputs))
+    starts = _starts(ends, list(inputs), keep**block, group, levels)
+    starts = starts.select("symbol", "part", *(F.col(y).alias(f"start_{y}") for y in inputs))
     joined = own.join(starts, ["symbol", "part"])
     values: dict[str, Column] = {y: F.col(f"local_{y}") + F.pow(F.lit(keep), F.col("at") + 1) * F.col(f"start_{y}") for y in inputs}
     return joined.withColumns(values).drop("part", "at", *(f"local_{y}" for y in inputs), *(f"start_{y}" for y in inputs))

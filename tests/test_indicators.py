@@ -79,3 +79,17 @@ def test_blocks_equal_one_window(spark, monkeypatch):
 @given(st.lists(st.floats(1, 1000), min_size=16, max_size=40))
 def test_rsi_between_0_and_100(spark, close):
     assert all(0 <= v <= 100 for v in values(indicators.rsi(bars_of(spark, close), 14), "rsi"))
+
+
+@pytest.mark.parametrize("block, group, levels", [(512, 256, 2), (8, 4, 2), (3, 2, 3), (8, 4, 0), (16, 1, 1)])
+def test_recurrence_in_levels(spark, block, group, levels):
+    rng = np.random.default_rng(block)
+    series = {"a": rng.normal(size=1100), "b": rng.normal(size=8), "c": rng.normal(size=1)}
+    rows = spark.createDataFrame([(s, i, float(x), float(-2 * x)) for s, u in series.items() for i, x in enumerate(u)], "symbol string, rn long, u double, v double")
+    got = {(r["symbol"], r["rn"]): (r["y"], r["z"]) for r in frames.recurrence(rows, {"y": "u", "z": "v"}, 0.9, block, group, levels).collect()}
+    assert len(got) == sum(map(len, series.values()))
+    for s, u in series.items():
+        y = 0.0
+        for i, x in enumerate(u):
+            y = 0.9 * y + x
+            assert got[s, i] == pytest.approx((y, -2 * y), abs=1e-9)
