@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .training import place
+
 PERCENTILES = (25, 50, 75, 90, 95)
 
 
@@ -90,11 +92,26 @@ def zscored(df: DataFrame, train: DataFrame, columns: tuple[str, ...]) -> DataFr
     return df.crossJoin(F.broadcast(stats)).select(*(c for c in df.columns if c not in columns), *(((F.col(c) - F.col(f"__m_{c}")) / (F.col(f"__s_{c}") + 1e-8)).alias(c) for c in columns))
 
 
+def percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """Exact linear percentile of a whole column without nulls; None for no rows.
+
+    Ranks are counted in ranges (training.place), and only the two rows beside the
+    wanted rank come to the driver: no task holds the column or its distinct values.
+    """
+    own = df.select(F.col(column).cast("double").alias("x"))
+    at = (own.count() - 1) * share
+    if at < 0:
+        return None
+    low = int(at)
+    found = dict(place(own, ("x",)).filter(F.col("place").between(low, low + (at > low))).select("place", "x").collect())
+    return found[low] + (found[low + 1] - found[low]) * (at - low) if at > low else found[low]
+
+
 def imputed(df: DataFrame, train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Infinite, NaN and null values take the training median of the finite ones."""
+    """Infinite, NaN and null values take the training median of the finite ones (null if there are none)."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
-    stats = train.agg(*(F.percentile(finite(c), F.lit(0.5)).alias(f"__m_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(stats)).select(*(c for c in df.columns if c not in columns), *(F.coalesce(finite(c), F.col(f"__m_{c}")).alias(c) for c in columns))
+    medians = {c: percentile(train.select(finite(c).alias("x")).dropna(), "x", 0.5) for c in columns}
+    return df.select(*(c for c in df.columns if c not in columns), *(F.coalesce(finite(c), F.lit(m).cast("double")).alias(c) for c, m in medians.items()))
 
 
 def eligibility(df: DataFrame, features: tuple[str, ...], label: str = "label", by: tuple[str, ...] = ("symbol",), min_signals: int = 400, min_sequences: int = 1000, max_ratio: float = 4.0) -> DataFrame:

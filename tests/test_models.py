@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,20 @@ def test_min_points_weights_bias(spark):
     assert bias[0] == pytest.approx(-0.28768, abs=1e-4) and bias[2] < -80
 
 
+def test_percentile_by_ranks(spark):
+    """Equal to numpy's, ties and all-equal columns included; imputed takes the finite values only."""
+    rng = np.random.default_rng(3)
+    for values in ([4.0], [1.0, 2.0], [7.0] * 50, list(rng.normal(size=301)), [float(x) for x in rng.integers(0, 5, 200)]):
+        df = spark.createDataFrame([(float(x),) for x in values], "x double")
+        for share in (0, 0.1, 0.5, 0.95, 1):
+            assert statistics.percentile(df, "x", share) == pytest.approx(np.percentile(values, 100 * share), abs=1e-12)
+    assert statistics.percentile(spark.createDataFrame([], "x double"), "x", 0.5) is None
+    odd = spark.createDataFrame([(1, 3.0), (2, None), (3, float("nan")), (4, float("-inf")), (5, 4.0)], "i int, x double")
+    assert [r["x"] for r in statistics.imputed(odd, odd, ("x",)).orderBy("i").collect()] == [3.0, 3.5, 3.5, 3.5, 4.0]
+    none = odd.filter("i in (2, 3)")
+    assert [r["x"] for r in statistics.imputed(none, none, ("x",)).collect()] == [None, None]
+
+
 def test_gate_edges(spark):
     schema = "precision_buy double, recall_buy double, precision_sell double, recall_sell double, val_loss double, train_loss double"
     rows = [(0.55, 0.9, 0.0, 0.0, 1.0, 1.0), (0.56, 0.41, 0.0, 0.0, 1.5, 1.25), (0.9, 0.9, 0.9, 0.9, 2.0, 1.0), (None, None, 0.9, 0.9, 1.0, 1.0)]
