@@ -6,7 +6,7 @@ spans compare in constant time, and the longest common extension of two places i
 found by binary search.
 
 A fingerprint is a string of four parts: the length and the hash of the whole text;
-the hashes of prefixes, and of suffixes, at lengths 16, 23, 32, 45, ... that fit; and
+the hashes of prefixes, and of suffixes, at lengths 1, 2, 4, 5, 8, 11, 16, ... that fit; and
 the SKETCH least hashes of the text's five-word spans. Two fingerprints' likeness is 1
 for equal texts; else it is the larger of the share that common ends cover, found by
 binary search in the prefix and the suffix hashes, and of the spans' estimated overlap,
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 P = np.uint64((1 << 31) - 1)
 BASES = (1_103_515_245, 747_796_405)
 SPAN, SKETCH = 5, 48
-GRID = [int(16 * 2 ** (k / 2)) for k in range(60)]
+GRID = sorted({int(2 ** (k / 2)) for k in range(68)})
 RANGES = 4  # for each shuffle partition
 _31, _32 = np.uint64(31), np.uint64(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

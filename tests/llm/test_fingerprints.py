@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -65,3 +66,24 @@ def test_few(spark):
     assert f.query(spark.createDataFrame([], SCHEMA)).count() == 0
     (one,) = f.query(spark.createDataFrame([(4, "alone here", "c", "c")], SCHEMA)).collect()
     assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"alonealone").hexdigest()
+
+
+def test_likeness_by_plain_code():
+    """The ends' share is that of the longest common prefix and suffix, each floored to the grid, in short texts too."""
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choice("xy") for _ in range(rng.randrange(1, 40)))
+        cut = rng.randrange(len(a) + 1)
+        b = a[:cut] + "".join(rng.choice("xy") for _ in range(rng.randrange(0, 20))) + a[rng.randrange(cut, len(a) + 1) :]
+        if not b or a == b:
+            continue
+        head = len(os.path.commonprefix([a, b]))
+        tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+        fa, fb = f.Fingerprint(a, POWERS), f.Fingerprint(b, POWERS)
+        pa, pb = f.Prefixes(f.codes_of(a), POWERS), f.Prefixes(f.codes_of(b), POWERS)
+        assert pa.common(0, pb, 0) == head
+        floor = lambda n: max([g for g in f.GRID if g <= n], default=0)
+        share = min(min(len(a), len(b)), floor(head) + floor(tail)) / max(len(a), len(b))
+        # one word each: different spans, so the ends alone decide
+        assert f.likeness(fa, fb) == pytest.approx(min(share, 1 - 1 / (1 + max(len(a), len(b))))), (a, b)
+    assert f.likeness(f.Fingerprint("abcdefgh", POWERS), f.Fingerprint("abcdXXXX", POWERS)) == 0.5
