@@ -22,6 +22,16 @@ def safe_ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b as IEEE 754 has it, in ANSI mode too: infinite where only b is 0, NaN where both are."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def ieee_ln(x: Column) -> Column:
+    """Natural logarithm as IEEE 754 has it: -infinity at 0, NaN below."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def floor_divide_sql(a: str, b: str) -> str:
     """The same for SQL engines whose % on doubles is C's fmod."""
     q = f"((({a}) - ({a}) % ({b})) / ({b}) - CASE WHEN ({a}) % ({b}) < 0 THEN 1.0 ELSE 0.0 END)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import divide_no_nan, safe_ln
+from barloom.functions.numeric import divide_no_nan, ieee_divide, ieee_ln, safe_ln
 
 from .frames import framed, in_block, numbered, past, recurrence
 
@@ -90,11 +90,18 @@ def bollinger(bars: DataFrame, period: int = 14, deviation: float = 2.0, column:
     return _rolling(bars, period, {"middle": mean, "upper": mean + wide, "lower": mean - wide})
 
 
-def garman_klass(bars: DataFrame, period: int = 14) -> DataFrame:
-    """Null where a bar of the window has no logarithm, NaN never: a negative mean gives null too."""
-    hl, co = safe_ln(divide_no_nan(F.col("high"), F.col("low"))), safe_ln(divide_no_nan(F.col("close"), F.col("open")))
+def garman_klass(bars: DataFrame, period: int = 14, ieee: bool = False) -> DataFrame:
+    """Null where a bar of the window has no logarithm, NaN never: a negative mean gives null too.
+
+    With `ieee` as in SQL: a low of 0 gives infinity, or NaN if the bar also opens or closes at 0,
+    a ratio below 0 gives NaN, and a window skips its null bars.
+    """
+    divide, ln = (ieee_divide, ieee_ln) if ieee else (divide_no_nan, safe_ln)
+    hl, co = ln(divide(F.col("high"), F.col("low"))), ln(divide(F.col("close"), F.col("open")))
     value = 0.5 * hl * hl - F.lit(0.38629436111989057) * co * co  # 2 ln 2 - 1
-    mean = F.when(F.count(value).over(past(period)) == period, F.avg(value).over(past(period)))
+    mean = F.avg(value).over(past(period))
+    if not ieee:
+        mean = F.when(F.count(value).over(past(period)) == period, mean)
     return _rolling(bars, period, {"volatility": F.when(mean >= 0, F.sqrt(mean)) * F.sqrt(F.lit(float(period)))})
 
 

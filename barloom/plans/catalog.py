@@ -221,7 +221,7 @@ query(
     f"{ROWS}, g AS (SELECT symbol, time, rn, 0.5 * ln(high / low) ** 2 - (2 * ln(2) - 1) * ln(close / open) ** 2 AS v FROM r), i AS (SELECT *, avg(v) OVER {_over(14)} AS m FROM g)"
     " SELECT symbol, time, rn, CASE WHEN m >= 0 THEN sqrt(m) * sqrt(14.0) END AS volatility FROM i WHERE rn >= 13",
     "volatility",
-)(lambda s, d: indicators.garman_klass(h1(s, d)))
+)(lambda s, d: indicators.garman_klass(h1(s, d), ieee=True))
 query("body_range_ratio", f"{BARS} SELECT symbol, time, CASE WHEN high = low THEN 0 ELSE abs(open - close) / (high - low) END AS ratio FROM bars", "ratio")(lambda s, d: indicators.body_range_ratio(h1(s, d)))
 ANCHORED = f"{ROWS}, i AS (SELECT symbol, time, rn, n, list(close) OVER {_over(L)} AS v, list(time) OVER {_over(L)} AS ts, list(open) OVER {_over(L)} AS o FROM r), a AS (SELECT * FROM i WHERE rn >= {L - 1} AND (rn - {L - 1}) % {STRIDE} = 0)"
 query(

@@ -42,6 +42,28 @@ def test_against_sql(spark):
         assert show(tuple(r[c] for c in names) for r in df.collect()) == show(want), name
 
 
+def test_volatility_of_odd_prices_against_sql(spark, tmp_path):
+    """One odd bar a symbol; the smoke tables have no price of 0."""
+    import datetime as dt
+
+    duckdb = pytest.importorskip("duckdb")
+    nan, inf = float("nan"), float("inf")
+    odd = {"low": [1, 0, 2], "open": [0, 1], "close": [1, 0], "zero": [0], "minus": [1, -0.0, 2], "wide": [-1, 2], "below": [-3, -1, -2]}
+    odd |= {"null": [None], "first": [None, 1, 2], "last": [1, 2, None], "nan": [1, nan, 2], "inf": [1, inf, 2], "plain": [1]}
+    rows = []
+    for symbol, values in odd.items():
+        for hour in range(36):
+            for i, v in enumerate(values if hour == 15 else [hour % 5 + 1, hour % 7 + 2, hour % 3 + 1]):
+                rows.append((len(rows), dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour, minutes=i), symbol, None if v is None else float(v)))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    names = ["symbol", "rn", "time", "volatility"]
+    want = {tuple(r[:3]): str(r[3]) for r in con.sql(catalog.ORACLE["gk_volatility_14"]).select(*names).fetchall()}
+    got = {tuple(r[c] for c in names[:3]): str(r["volatility"]) for r in catalog.QUERIES["gk_volatility_14"](spark, str(tmp_path)).collect()}
+    assert got == want and {"inf", "nan"} < set(want.values()) and len(want) == 23 * len(odd)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="no smoke tables")
 def test_whole_embeddings(spark):
     """Queries without SQL take every value of a vector."""

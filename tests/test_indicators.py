@@ -43,6 +43,11 @@ def test_volatility_without_logarithm(spark):
     assert got[0] is None and got[1:] == pytest.approx([np.log(3) * np.sqrt(0.5) * np.sqrt(2)] * 2)
 
 
+def test_volatility_as_ieee(spark):
+    zero = bars_of(spark, [2, 2, 2, 2], [3, 3, 3, 3], [0, 1, 1, 1])
+    assert values(indicators.garman_klass(zero, 2, ieee=True), "volatility") == pytest.approx([np.inf] + [np.log(3) * np.sqrt(0.5) * np.sqrt(2)] * 2)
+
+
 def wilder(x, p, kind):
     if kind == "rsi":
         d = np.diff(x)
