@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import id_and_text, map_batches
+from .common import held, id_and_text, map_arrow, map_batches
 
 LEAF, LONG = 1 << 12, 1 << 16
 FIRST_WINDOW = 64
@@ -240,15 +240,12 @@ class Node:
         return i + 1 if i < len(self.ends) and self.ends[i] == place else None
 
 
-_encoders: dict[int, tuple] = {}
-
-
 def _loaded(source) -> Encoder:
-    """The encoder of a broadcast vocabulary, made once in each Python worker."""
-    if id(source) not in _encoders:
-        _encoders.clear()
-        _encoders[id(source)] = source, Encoder(source.value)
-    return _encoders[id(source)][1]
+    """The encoder of a broadcast vocabulary, made once in a Python worker until it gives memory back."""
+    if id(source) not in held:
+        held.clear()
+        held[id(source)] = source, Encoder(source.value)
+    return held[id(source)][1]
 
 
 def packed(ids) -> bytes:
@@ -315,7 +312,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False, lea
     rows = texts.filter(size > long).withColumn("row", F.monotonically_increasing_id())
     # a stated number of partitions: leaves are few bytes and much work, which adaptive execution would put in one task
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.mapInArrow(cut, "row long, doc_id long, part int, leaf int, text string").repartition(spread, "row", "part", "leaf")
+    cuts = map_arrow(rows, cut, "row long, doc_id long, part int, leaf int, text string").repartition(spread, "row", "part", "leaf")
     encoded = map_batches(cuts, leaves, "row long, doc_id long, part int, leaf int, text string, ids binary", barrier_rows=16)
     return short.unionByName(encoded.groupBy("row").applyInArrow(joined, schema))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,34 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: What a Python worker holds between the calls of one task.
+held: dict = {}
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed, of Arrow's pool and of malloc, to the system."""
+    held.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with a generator; its worker gives memory back after each task.
+
+    Workers outlive their tasks, and idle ones count in the executor's memory while other
+    stages run in the JVM.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, barrier_rows: int = 512) -> DataFrame:
     """Apply make()'s function to slices of Arrow batches.
 
@@ -46,7 +75,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 columns = function(batch.slice(at, barrier_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

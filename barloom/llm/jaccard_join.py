@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Cuts, Memo, map_batches, whole_rows
+from .common import WORD, Cuts, Memo, map_arrow, map_batches, whole_rows
 from .components import Forest, components
 
 N = 5
@@ -175,7 +175,7 @@ def _walked(rows: DataFrame) -> DataFrame:
                 member, path = walk(sketches, np.arange(n), b.column("path").to_numpy().view(_U), LEVELS, LATER_FORKS)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("key").take(pa.array(member))], names=["path", "key"])
 
-    return rows.mapInArrow(run, "path long, key binary")
+    return map_arrow(rows, run, "path long, key binary")
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _compared(rows: DataFrame) -> DataFrame:
                 agrees = (_matrix(b.column("sketch")) == _matrix(b.column("least"))).mean(axis=1) >= AGREE
                 yield pa.RecordBatch.from_arrays([b.column("path"), b.column("key"), b.column("v"), pa.array(agrees)], names=["path", "key", "v", "agrees"])
 
-    return rows.mapInArrow(run, "path long, key binary, v binary, agrees boolean")
+    return map_arrow(rows, run, "path long, key binary, v binary, agrees boolean")
 
 
 def _groups(batches, column: str):
@@ -233,7 +233,7 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], schema=edge)
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "u binary, v binary")
+    return map_arrow(rows.repartition("path").sortWithinPartitions("path"), run, "u binary, v binary")
 
 
 def candidates(cuts: Cuts, reps: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def _verified(units: DataFrame) -> DataFrame:
                 names=["comp", "key", "root", "links", "blocks"],
             )
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, _VERIFIED)
+    return map_arrow(units.repartition("unit").sortWithinPartitions("unit"), run, _VERIFIED)
 
 
 def classes(docs: DataFrame, *keys: str, cuts: Cuts | None = None) -> tuple[DataFrame, DataFrame]:

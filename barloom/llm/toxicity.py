@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, HashTable, fold, id_and_text, labelled_sample, map_batches
+from .common import WORD, HashTable, fold, id_and_text, labelled_sample, map_arrow, map_batches
 
 BITS, STEMS = 20, (4, 6)
 SAMPLE = 10000
@@ -38,6 +38,7 @@ THRESHOLD = 0.3
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 10.0, 0.5, 8
 #: Features in fewer sampled texts than this are not trained.
 LEAST = 3
+SLICE = 512  # rows whose texts are Python strings at once
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¿¡–—"
 _MASK = np.uint64((1 << BITS) - 1)
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):
         yield pa.RecordBatch.from_pydict({"at": [at.astype("<i8").tobytes()], "values": [values.tobytes()], "intercept": [intercept]})
 
     sets = map_batches(sample, make, "x binary, y int").repartition(1)  # at most `most` rows
-    row = sets.mapInArrow(trained, "at binary, values binary, intercept double").first()
+    row = map_arrow(sets, trained, "at binary, values binary, intercept double").first()
     return train([]) if row is None else (np.frombuffer(row["at"], "<i8"), np.frombuffer(row["values"], np.float32), row["intercept"])
 
 
@@ -163,12 +164,14 @@ def keep_clean(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFram
 
     def run(batches):
         one = make_score()
-        for rows in batches:
-            keep = [one(t or "") < threshold for t in rows.column(place).to_pylist()]
-            yield rows.filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                keep = [one(t or "") < threshold for t in rows.column(place).to_pylist()]
+                yield rows.filter(pa.array(keep, pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return map_arrow(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
